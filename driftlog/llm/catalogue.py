@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftlog.llm.bpe import op1_bpe
 from driftlog.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bpe": op1_bpe,
         "op5_exact_dedup": op5_exact_dedup,
     }
 
