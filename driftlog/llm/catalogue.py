@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from driftlog.llm.bpe import op1_bpe
 from driftlog.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 
+from driftlog.llm.license_scan import op2_license_scan
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_license_scan": op2_license_scan,
         "op5_exact_dedup": op5_exact_dedup,
     }
 
