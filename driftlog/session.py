@@ -55,10 +55,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: lineage is cut, and losing
     an executor costs no more than the running tasks."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
