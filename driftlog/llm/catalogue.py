@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from driftlog.llm.bpe import op1_bpe
 from driftlog.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 
+from driftlog.llm.jaccard_join import op6_ngram_jaccard
 from driftlog.llm.language_id import op10_language_id
 from driftlog.llm.license_scan import op2_license_scan
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": op1_bpe,
         "op2_license_scan": op2_license_scan,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_ngram_jaccard": op6_ngram_jaccard,
         "op10_language_id": op10_language_id,
     }
 
