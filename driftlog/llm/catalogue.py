@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from driftlog.llm.bpe import op1_bpe
+from driftlog.llm.embedding_dedup import op9_embedding_dedup
 from driftlog.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 
 from driftlog.llm.jaccard_join import op6_ngram_jaccard
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_license_scan": op2_license_scan,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_ngram_jaccard": op6_ngram_jaccard,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_language_id": op10_language_id,
     }
 
