@@ -13,12 +13,14 @@ from driftlog.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from driftlog.llm.jaccard_join import op6_ngram_jaccard
 from driftlog.llm.language_id import op10_language_id
 from driftlog.llm.license_scan import op2_license_scan
+from driftlog.llm.quality import op3_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_license_scan": op2_license_scan,
+        "op3_quality": op3_quality,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op9_embedding_dedup": op9_embedding_dedup,
