@@ -13,6 +13,7 @@ from driftlog.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from driftlog.llm.jaccard_join import op6_ngram_jaccard
 from driftlog.llm.language_id import op10_language_id
 from driftlog.llm.license_scan import op2_license_scan
+from driftlog.llm.line_dedup import op4_line_dedup
 from driftlog.llm.quality import op3_quality
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": op1_bpe,
         "op2_license_scan": op2_license_scan,
         "op3_quality": op3_quality,
+        "op4_line_dedup": op4_line_dedup,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op9_embedding_dedup": op9_embedding_dedup,
