@@ -14,6 +14,7 @@ from driftlog.llm.jaccard_join import op6_ngram_jaccard
 from driftlog.llm.language_id import op10_language_id
 from driftlog.llm.license_scan import op2_license_scan
 from driftlog.llm.line_dedup import op4_line_dedup
+from driftlog.llm.mixing import op7_source_mixing
 from driftlog.llm.quality import op3_quality
 
 
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_ngram_jaccard": op6_ngram_jaccard,
+        "op7_source_mixing": op7_source_mixing,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_language_id": op10_language_id,
     }
