@@ -16,6 +16,7 @@ from driftlog.llm.license_scan import op2_license_scan
 from driftlog.llm.line_dedup import op4_line_dedup
 from driftlog.llm.mixing import op7_source_mixing
 from driftlog.llm.quality import op3_quality
+from driftlog.llm.secret_scan import op8_secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": op5_exact_dedup,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_source_mixing": op7_source_mixing,
+        "op8_secret_scan": op8_secret_scan,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_language_id": op10_language_id,
     }
