@@ -230,6 +230,17 @@ def digest_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
+def table_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, ids, text) to the id, the ids, their number, and the hash of the decoded text."""
+    for batch in batches:
+        sizes = [len(x) for x in _lists(batch.column(1))]
+        hashes = [hashlib.sha256(x.encode()).hexdigest() for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string())],
+            names=["id", "ids", "n_tokens", "decoded_sha256"],
+        )
+
+
 def _definition(path: str | None) -> str:
     if path is None:
         import public_tokenizers
@@ -279,6 +290,18 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.withColumnRenamed("id", id_col)
 
 
+def bpe_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """``id, ids, n_tokens, decoded_sha256``: encoded texts ready for training, decoded once for a check. Edge cases as ``bpe_encode``."""
+    ship_package(docs.sparkSession)
+    definition = _definition(tokenizer)
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    out = rows.mapInArrow(
+        lambda b: table_batches(decode_batches(encode_batches(b, definition), definition)),
+        f"id {_kind(docs, id_col)}, ids array<int>, n_tokens long, decoded_sha256 string",
+    )
+    return out.withColumnRenamed("id", id_col)
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents, encoded and decoded."""
     return bpe_round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -74,9 +74,14 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """``docs`` without the rows whose text another row keeps; columns as they came."""
-    kept = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """``docs`` without the rows whose text another row keeps; columns as they came.
+
+    Only the ids to drop are joined, so texts are not shuffled while those ids are few. Rows that repeat the
+    kept id along with its text stand for one document and stay as they are.
+    """
+    dropped = exact_groups(docs, id_col, text_col, keep).where("NOT kept").select(F.col(id_col).alias("_dropped_id"))
+    dropped = written(dropped.distinct(), "exact-dropped")
+    return docs.join(dropped, F.col(id_col) == F.col("_dropped_id"), "left_anti")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

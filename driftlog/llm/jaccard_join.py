@@ -344,9 +344,13 @@ def _candidates(postings: DataFrame, matrix: DataFrame, needed: Column) -> DataF
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; columns as they came."""
-    kept = jaccard_components(docs, id_col, text_col).where(f"{id_col} = component_id OR {id_col} IS NULL").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """``docs`` with one document of each component, that of the smallest id; columns as they came.
+
+    Only the ids to drop are joined. Rows with a null id stay.
+    """
+    dropped = jaccard_components(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_dropped_id"))
+    dropped = written(dropped.distinct(), "jaccard-dropped")
+    return docs.join(dropped, F.col(id_col) == F.col("_dropped_id"), "left_anti")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
