@@ -154,7 +154,7 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", site_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     shape = f"id {kind}, n_lines long, n_removed long, text string"
     if bad.count() <= BROADCAST_LINES:
-        lines = spark.sparkContext.broadcast(np.sort(bad.toPandas()["line"].to_numpy(np.int64).view(np.uint64)))
+        lines = spark.sparkContext.broadcast(np.sort(bad.toArrow()["line"].to_numpy().view(np.uint64)))
         out = rows.mapInArrow(lambda b: clean_batches(b, lines), shape)
     else:
         out = _clean_by_join(rows, bad, shape)

@@ -143,8 +143,9 @@ def _telling_words(sample: DataFrame, sizes: dict[int, int], most: int) -> np.nd
 
 
 def _collected(sample: DataFrame, model: DomainModel) -> tuple[np.ndarray, np.ndarray]:
-    got = sample.mapInArrow(lambda b: input_batches(b, model), "domain int, x array<float>").toPandas()
-    return np.stack(got["x"].to_numpy()).astype(np.float64), got["domain"].to_numpy(np.int64)
+    got = sample.mapInArrow(lambda b: input_batches(b, model), "domain int, x array<float>").toArrow()
+    x = got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, -1)
+    return x.astype(np.float64), got["domain"].to_numpy().astype(np.int64)
 
 
 def member_batches(batches: Iterable[pa.RecordBatch], model: DomainModel) -> Iterator[pa.RecordBatch]:

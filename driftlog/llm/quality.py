@@ -110,8 +110,8 @@ def _bounded(rows: DataFrame, most: int) -> DataFrame:
 
 
 def _features(rows: DataFrame) -> np.ndarray:
-    got = rows.mapInArrow(collected_batches, "id long, x array<double>").select("x").toPandas()["x"]
-    return np.stack(got.to_numpy()) if len(got) else np.zeros((0, len(NAMES)))
+    got = rows.mapInArrow(collected_batches, "id long, x array<double>").select("x").toArrow()["x"].combine_chunks()
+    return got.flatten().to_numpy(zero_copy_only=False).reshape(len(got), len(NAMES))
 
 
 def fit_quality(docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 15_000) -> QualityModel:
