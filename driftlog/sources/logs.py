@@ -68,4 +68,6 @@ def export_json_lines(logs: DataFrame, path: str) -> None:
 def import_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Reads what ``export_json_lines`` wrote; lines that don't parse are dropped, positions are kept in the rows."""
     rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    # The parser notices a bad line only if it is asked for a column of the line itself: the first must be there.
+    parsed = F.col(rows.columns[0]).isNotNull()
+    return rows.where(F.col("_corrupt_record").isNull() & parsed).drop("_corrupt_record")
