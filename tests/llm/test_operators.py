@@ -1,0 +1,417 @@
+"""Each operator against a plain version of itself, with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from driftlog.llm import bpe, components, embedding_dedup, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, quality, secret_scan
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, rep string, token int, _h string, component_id string, h1 int, label int"
+
+
+def frame(spark, texts, langs=None, sources=None, ids=None):
+    rows = []
+    for k, text in enumerate(texts):
+        lang = langs[k] if langs else "en"
+        source = sources[k] if sources else f"s{k % 3}"
+        rows.append((ids[k] if ids else k, text, lang, source, 0, 5, "x", 1, "h", "c", 2, None))
+    return spark.createDataFrame(rows, DOCS)
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd():
+    """Texts that operators have to live with."""
+    return [None, "", " \n\t ", "a", "a b", "A  B", "word " * 30_000, "x" * 50_000, "é ü ß Σίσυφος 日本語 😀", "a\x00b\x01c\x02d", "<|endoftext|> it's", "line\nline\n\nline", "same text here now ok", "same text here now ok"]
+
+
+OPERATORS = {
+    "bpe": lambda s, d: bpe.bpe_round_trip(d),
+    "bpe_table": lambda s, d: bpe.bpe_table(d),
+    "licences": lambda s, d: license_scan.scan_licenses(d),
+    "quality": lambda s, d: quality.score_quality(d, quality.fit_quality(d, d.where("doc_id % 2 = 0"))),
+    "lines": lambda s, d: line_dedup.remove_boilerplate(d, min_sites=2),
+    "exact": lambda s, d: exact_dedup.exact_groups(d),
+    "jaccard": lambda s, d: jaccard_join.jaccard_components(d),
+    "mixture": lambda s, d: mixing.mixture(d, d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))),
+    "languages": lambda s, d: language_id.predict_languages(d, language_id.fit_languages(d)),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_rows_and_empty_tables(spark, odd, name):
+    docs = frame(spark, odd + odd[-1:], ids=[*range(len(odd)), len(odd) - 1])  # the last row is repeated
+    assert OPERATORS[name](spark, docs).count() == len(odd) + 1
+    null_id = docs.withColumn("doc_id", F.when(F.col("doc_id") != 3, F.col("doc_id")))
+    assert OPERATORS[name](spark, null_id).count() == len(odd) + 1
+    assert OPERATORS[name](spark, docs.limit(0)).count() == 0
+
+
+def test_filters_on_odd_rows(spark, odd):
+    docs = frame(spark, odd)
+    assert secret_scan.scan_secrets(docs).count() == 0 == secret_scan.scan_secrets(docs.limit(0)).count()
+    assert exact_dedup.drop_exact_copies(docs).columns == docs.columns
+    assert {r["doc_id"] for r in exact_dedup.drop_exact_copies(docs).collect()} == set(range(14)) - {0, 12}
+    # no words: 0, 1 and 2 stay; a b = A  B
+    assert {r["doc_id"] for r in jaccard_join.drop_near_copies(docs).collect()} == set(range(14)) - {5, 13}
+    kept = language_id.keep_determined(docs, language_id.fit_languages(docs))
+    assert {r["doc_id"] for r in kept.collect()} == set(range(14)) - {0, 1, 2} and kept.columns == docs.columns
+    mixed = mixing.mix(docs, docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    assert mixed.columns == docs.columns and mixed.where("doc_id = 8").count() in (1, 2)
+
+
+def test_bpe_equals_the_library(spark, odd):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(2)
+    made = ["".join(rng.choice("abcdeÉéß '’.,!12½ \n\tΣσİ日​😀") for _ in range(200)) for _ in range(60)]
+    texts = odd + made + ["aaaa" * 40, "'Tis we'll WE'LL x's", "<|startoftext|><|endoftext|>x<|ENDOFTEXT|>"]
+    reference = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = {r["doc_id"]: r for r in bpe.bpe_encode(frame(spark, texts)).collect()}
+    back = {r["doc_id"]: r["text"] for r in bpe.bpe_decode(bpe.bpe_encode(frame(spark, texts))).collect()}
+    digests = {r["doc_id"]: r for r in bpe.bpe_round_trip(frame(spark, texts)).collect()}
+    for k, text in enumerate(texts):
+        ids = reference.encode(text or "", add_special_tokens=False).ids
+        decoded = reference.decode(ids, skip_special_tokens=False)
+        assert got[k]["ids"] == ids and back[k] == decoded
+        assert digests[k]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert (digests[k]["n_tokens"], digests[k]["decoded_sha256"]) == (len(ids), hashlib.sha256(decoded.encode()).hexdigest())
+
+
+def test_decode_of_odd_lists(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [320, None, 99_999_999, -1])], "doc_id long, ids array<int>")
+    assert [len(r["text"].split()) for r in bpe.bpe_decode(df).orderBy("doc_id").collect()] == [0, 0, 1]
+
+
+def plain_licences(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    places = []
+    for phrase, label in license_scan.rules() and [(p.split(), n) for p, n in license_scan_base()]:
+        places += [(i, label) for i in range(len(words)) if words[i : i + len(phrase)] == phrase]
+    return len(words), sorted(places)
+
+
+def license_scan_base():
+    from driftlog.llm.license_rules import BASE_PHRASES
+
+    return BASE_PHRASES
+
+
+def test_licence_base_places(spark, odd):
+    rng = random.Random(4)
+    pool = ["MIT", "license", "Apache", "general", "public", "é", "mit_license", "x", "GNU", "2.0"]
+    texts = odd + [rng.choice([" ", "\n * ", "-"]).join(rng.choice(pool) for _ in range(40)) for _ in range(40)]
+    for r in license_scan.scan_licenses(frame(spark, texts)).collect():
+        base = sorted((d["word"], d["label"]) for d in r["detections"] if d["base"])
+        assert (r["n_words"], base) == plain_licences(texts[r["doc_id"]])
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("Released under the MIT License.", {"mit"}),
+        ("Licensed under the Apache License, Version 2.0.", {"apache", "apache-2.0"}),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", {"gpl-2.0"}),
+        ("This work is licensed under CC BY-NC 4.0.", {"cc-by-nc-4.0"}),
+        ("Permission is hereby granted, free of charge, to any person\n * obtaining a copy", {"mit"}),
+        ("see https://www.mozilla.org/MPL/2.0 for it", {"mpl-2.0"}),
+        ("no rights here", set()),
+    ],
+)
+def test_licence_labels(text, labels):
+    assert {d[0].label for d in license_scan.Scanner().detections(text.lower().encode())} == labels
+
+
+def test_licence_windows_and_suppression_lose_nothing():
+    scanner = license_scan.Scanner()
+    assert len(scanner.table) >= 200 and [r.priority for r in scanner.table] == sorted(r.priority for r in scanner.table)
+    rng = random.Random(9)
+    parts = ["Licensed under the MIT License", "apache license version 2.0", "all rights reserved", "gnu general public license v3", "lorem ipsum dolor", "spdx-license-identifier: isc", "\n * "]
+    for _ in range(30):
+        text = " ".join(rng.choice(parts) for _ in range(30)).lower().encode()
+        plain = [(r, m.start(), m.end()) for r in scanner.table if all(k in text for k in r.keywords) for m in r.pattern.finditer(text)]
+        got = scanner.detections(text)
+        assert got == license_scan.suppressed(plain)
+        rest = [d for d in plain if not d[0].base]
+        for rule, lo, hi in rest:
+            inside = any(o[1] <= lo and hi <= o[2] and o[0].priority <= rule.priority for o in got if not o[0].base)
+            assert inside
+
+
+def test_exact_groups(spark, odd):
+    texts = odd + ["dup"] * 50
+    rows = {r["doc_id"]: r for r in exact_dedup.exact_groups(frame(spark, texts), keep="largest").collect()}
+    smallest = {r["doc_id"]: r["keep_id"] for r in exact_dedup.exact_groups(frame(spark, texts)).collect()}
+    groups = defaultdict(list)
+    for k, t in enumerate(texts):
+        groups[t or ""].append(k)
+    for k, t in enumerate(texts):
+        g = groups[t or ""]
+        want = (max(g), len(g), k == max(g), hashlib.sha256((t or "").encode()).hexdigest())
+        assert (rows[k]["keep_id"], rows[k]["group_size"], rows[k]["kept"], rows[k]["text_sha256"]) == want
+        assert smallest[k] == min(g)
+
+
+def test_exact_groups_survive_hash_collisions(spark):
+    texts = [f"t{k % 11}" for k in range(60)] + [None, ""]
+    same = lambda text: F.unhex(F.substring(F.md5(text), 1, 2)).substr(1, 0) if False else F.lit(b"one")
+    rows = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(frame(spark, texts), hash_fn=same).collect()}
+    for k, t in enumerate(texts):
+        g = [i for i, x in enumerate(texts) if (x or "") == (t or "")]
+        assert rows[k] == (min(g), len(g))
+
+
+def plain_components(texts):
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    root = list(range(len(texts)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(texts)):
+        for b in range(a):
+            i, u = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if u and 100 * i >= 75 * u:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {k: (len(sets[k]), find(k)) for k in range(len(texts))}
+
+
+def near_texts():
+    rng = random.Random(11)
+    texts = []
+    for family in range(12):
+        base = prose(rng, rng.choice([7, 20, 60, 150])).split()
+        for _ in range(rng.choice([1, 4, 25])):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                copy[rng.randrange(len(copy))] = rng.choice(WORDS)
+            texts.append(" ".join(copy) + rng.choice(["", " tail", " " + prose(rng, 5)]))
+    shared = prose(rng, 40)
+    return texts + [shared + " " + prose(rng, n) for n in (5, 10, 12, 15, 60, 80, 100)]
+
+
+def test_jaccard_components(spark, odd):
+    texts = near_texts() + odd
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(frame(spark, texts)).collect()}
+    assert got == plain_components(texts)
+
+
+def test_jaccard_without_star_links_or_broadcast(spark, monkeypatch):
+    """The matrix alone finds all links, and the ways beyond the broadcast bounds give the same."""
+    monkeypatch.setattr(jaccard_join, "BROADCAST_KEYS", -1)
+    monkeypatch.setattr(jaccard_join, "QUERIES_PER_COPY", 3)
+    monkeypatch.setattr(jaccard_join, "_links", lambda sets, pairs: pairs.select(pairs["id"].alias("a"), pairs["star"].alias("b")).limit(0))
+    texts = near_texts()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(frame(spark, texts)).collect()}
+    assert got == plain_components(texts)
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    links = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(30)] + [(5, 5)]
+    root = {}
+
+    def find(a):
+        root.setdefault(a, a)
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b in links:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in root}
+
+
+def test_line_dedup(spark, odd, monkeypatch):
+    rng = random.Random(8)
+    common, rare = [prose(rng, 6) for _ in range(6)], [prose(rng, 5) for _ in range(40)]
+    texts = odd + ["\n".join(rng.choice(common + rare).upper() if rng.random() < 0.3 else rng.choice(common + rare) for _ in range(rng.randrange(1, 9))) for _ in range(120)]
+    sources = [rng.choice([None, *(f"s{i}" for i in range(25))]) for _ in texts]
+    norm = lambda line: tuple(w for w in re.split(r"[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)) if w)
+    sites = defaultdict(set)
+    for t, s in zip(texts, sources):
+        for line in (t or "").split("\n"):
+            if norm(line):
+                sites[norm(line)].add(s or "")
+    bad = {k for k, v in sites.items() if len(v) >= 10}
+    assert bad
+    for bound in (2_000_000, -1):
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", bound)
+        for r in line_dedup.remove_boilerplate(frame(spark, texts, sources=sources)).collect():
+            lines = (texts[r["doc_id"]] or "").split("\n")
+            left = [x for x in lines if norm(x) not in bad]
+            assert (r["n_lines"], r["n_removed"], r["text"]) == (len(lines), len(lines) - len(left), "\n".join(left))
+
+
+def test_languages_held_out(spark):
+    rng = random.Random(5)
+    tongues = {"aa": ["kolim", "verat", "susha", "menor"], "bb": ["grünz", "schlöt", "pfäng", "zwirk"], "cc": ["ñandú", "cielón", "llaros", "quebó"]}
+    texts, langs = [], []
+    for k in range(240):
+        lang = rng.choice(list(tongues))
+        texts.append(" ".join("".join(rng.choice(tongues[lang])[: rng.randrange(2, 7)] for _ in range(2)) for _ in range(30)))
+        langs.append(lang)
+    docs = frame(spark, [*texts, None, "123 ½", "!!"], langs=[*langs, "aa", "aa", None])
+    got = language_id.identify(docs).collect()
+    unseen = [r for r in got if r["held_out"] and r["doc_id"] < 240]
+    assert np.mean([r["lang_pred"] == langs[r["doc_id"]] for r in unseen]) > 0.98
+    assert {(r["lang_pred"], r["score"]) for r in got if r["doc_id"] >= 240} == {("und", 0.0)}
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_forward_sums_all_segmentations():
+    pieces = language_id.letter_pieces()
+    trie, logp = language_id.PieceTrie(pieces), language_id.base_logs(pieces)
+    table = dict(zip(pieces, logp[:, 0]))
+    words = ["the", "straße", "日本", "q", "internationalisation", "abc" * 40]
+    for word, got in zip(words, language_id.word_logs(words, trie, logp)[:, 0]):
+        marked = language_id.MARK + word
+        total = [0.0] + [-np.inf] * len(marked)
+        for j in range(1, len(marked) + 1):
+            for i in range(j):
+                one = logp[-1, 0] if j == i + 1 else -np.inf
+                total[j] = np.logaddexp(total[j], total[i] + table.get(marked[i:j], one))
+        assert got == pytest.approx(total[-1])
+
+
+def test_quality_held_out(spark):
+    rng = random.Random(3)
+    texts, good = [], []
+    for k in range(600):
+        clean = rng.random() < 0.7
+        words = [rng.choice(WORDS) for _ in range(rng.randrange(30, 120))]
+        texts.append(". ".join(" ".join(words[i : i + 8]) for i in range(0, len(words), 8)) if clean else " ".join(w.upper() + rng.choice(["!!", "$$$", "###"]) for w in words))
+        good.append(clean)
+    docs = frame(spark, texts)
+    trusted = docs.where(F.col("doc_id").isin([k for k in range(600) if good[k] and k % 3 == 0]))
+    model = quality.fit_quality(docs.where("doc_id % 4 != 2"), trusted.where("doc_id % 4 != 2"))
+    assert 0.5 < model.prior < 0.9
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, model).collect()}
+    assert np.mean([(got[k] >= 0.7) == good[k] for k in range(2, 600, 4)]) > 0.95
+
+
+def test_mixture_meets_its_targets(spark):
+    rng = random.Random(7)
+    texts, labels = [], []
+    for k in range(500):
+        kind = rng.choice(["good", "good", "junk", "toxic"])
+        words = [rng.choice(WORDS) for _ in range(60)]
+        if kind == "junk":
+            words = [w.upper() + "!!" for w in words]
+        if kind == "toxic":
+            for _ in range(6):
+                words.insert(rng.randrange(60), rng.choice(["nasty", "foulness"]))
+        texts.append(" ".join(words))
+        labels.append((k, 0 if kind == "junk" else 1, int(kind == "toxic")))
+    docs, table = frame(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = mixing.mixture(docs, table.where("doc_id % 2 = 0")).collect()
+    assert all(r["rate"] >= 0 for r in rows)
+    for domain, weight in mixing.WEIGHTS.items():
+        held = sum(r["n_tokens"] * r[f"p_{domain}"] for r in rows)
+        assert sum(r["n_tokens"] * r[f"p_{domain}"] * r["rate"] for r in rows) == pytest.approx(weight * held, rel=0.03)
+    truth = [2 if t else (0 if q else 1) for _, q, t in labels]
+    assert np.mean([np.argmax([r["p_good"], r["p_junk"], r["p_toxic"]]) == truth[r["doc_id"]] for r in rows if r["doc_id"] % 2]) > 0.95
+
+
+def test_secrets(spark):
+    import os
+
+    key, hex40 = "AKIA" + "ND7DEZ4CD4HKM4XY", "12f5388ee56fe6a3f6d537f97336225b8df1323b"
+    texts = [
+        f"so {key} it goes", f'with token = "{hex40}" of', "password=179546abd2dbb60910 x", f"at commit {hex40} we", "password=changeme_example now",
+        f"{key} {key}\n password: Zx9!kQ2#vT7 \x01\x02 token={hex40}", None, "",
+    ]
+    found = secret_scan.scan_secrets(frame(spark, texts)).collect()
+    by_doc = defaultdict(list)
+    for r in sorted(found, key=lambda r: (r["doc_id"], r["start"])):
+        assert texts[r["doc_id"]][r["start"] : r["start"] + len(r["value"])] == r["value"]
+        by_doc[r["doc_id"]].append((r["kind"], r["is_secret"]))
+    assert by_doc[0] == [("aws_key", True)] and by_doc[1] == [("assignment", True)] == by_doc[2]
+    assert by_doc[3] == [("high_entropy", False)] and by_doc[4] == [("assignment", False)]
+    assert [k for k, _ in by_doc[5]] == ["aws_key", "aws_key", "assignment", "assignment"]
+    assert not os.environ.get("NEVER") and len(found) == 9
+    without = secret_scan.scan_secrets(frame(spark, texts).drop("source"), path_col="source")
+    assert without.count() == 9
+
+
+def test_forest_in_columns_equals_the_trees(spark):
+    findings = secret_scan.labelled_findings(800, 11)
+    forest = secret_scan.train_forest(spark, findings[:600])
+    table = spark.createDataFrame([(f["path"], f["kind"], f["before"], f["value"], f["after"], f["label"]) for f in findings[600:]], "path string, kind string, before string, value string, after string, label int")
+    rows = secret_scan.with_features(table).withColumn("score", secret_scan.forest_score(forest, F.col("x"))).collect()
+
+    def leaf(tree, x):
+        at = 0
+        while tree.feature[at] >= 0:
+            at = tree.left[at] if x[tree.feature[at]] <= tree.cut[at] else tree.right[at]
+        return tree.share[at]
+
+    for r in rows:
+        assert r["score"] == pytest.approx(np.mean([leaf(t, r["x"]) for t in forest]))
+    assert np.mean([(r["score"] >= 0.5) == bool(r["label"]) for r in rows]) > 0.93
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, id long, rep long"
+
+
+def test_near_vectors_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 32))
+    rows, vectors, labels = [], [], []
+    for k in range(900):
+        centre = centres[0] if k < 250 else centres[rng.integers(40)]
+        v = (centre + rng.normal(scale=rng.choice([0.03, 0.12, 1.0]), size=32)).astype(np.float32)
+        if k % 50 == 49:
+            v = vectors[-1]
+        label = None if k % 97 == 0 else int(k % 3)
+        if k % 50 == 49:
+            label = labels[-1]
+        vectors.append(v)
+        labels.append(label)
+        rows.append((k, v.tolist(), label, 1, 2))
+    unit = np.stack(vectors).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.98
+    np.fill_diagonal(links, False)
+    for i in range(900):
+        for j in np.flatnonzero(links[i]):
+            if labels[i] is None or labels[i] != labels[j]:
+                links[i, j] = False
+    rows += [(900, None, 0, 1, 2), (901, [0.0] * 32, 0, 1, 2), (902, [float("nan")] * 32, 0, 1, 2), (903, [None] * 32, 0, 1, 2), (904, [], 0, 1, 2), (905, [1.0, 2.0], 0, 1, 2), (906, [2.0, 4.0], 0, 1, 2)]
+    got = {r["vec_id"]: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert len(got) == len(rows)
+    found = np.array([got[k]["n_links"] for k in range(900)])
+    assert (found <= links.sum(axis=1)).all() and found.sum() >= 0.9 * links.sum() > 0
+    assert [(got[k]["n_links"], got[k]["component_id"]) for k in range(900, 905)] == [(0, k) for k in range(900, 905)]
+    assert (got[906]["n_links"], got[906]["component_id"], got[906]["kept"]) == (1, 905, False)
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
+    assert embedding_dedup.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def test_tiled_lists_count_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(k, (np.ones(16) + rng.normal(scale=0.05, size=16)).tolist(), 1, 0, 0) for k in range(150)]
+    table = spark.createDataFrame(rows, VECTORS)
+    whole = sorted(map(tuple, embedding_dedup.near_vectors(table).collect()))
+    monkeypatch.setattr(embedding_dedup, "TILE", 40)
+    assert sorted(map(tuple, embedding_dedup.near_vectors(table).collect())) == whole
+    assert Counter(r[2] for r in whole).most_common(1)[0][1] > 100
