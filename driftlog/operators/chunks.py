@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftlog.config import Config
 from driftlog.plans import ir
+from driftlog.session import ship_package
 
 ROW_OVERHEAD = 32
 TOP_LEVEL = ("ts", "service", "level", "msg")
@@ -35,6 +36,7 @@ def seal_greedily(logs: DataFrame, lane: str, config: Config, size: str = "bytes
     The rule is sequential: a row that fills the open chunk is its last. Lanes are independent, so a table is
     dealt over as many lanes as it should have writers. A lane is streamed in sorted order, not collected.
     """
+    ship_package(logs.sparkSession)
     shape = f"{logs.schema[lane].name} {logs.schema[lane].dataType.simpleString()}, pos long, lane_seq int"
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

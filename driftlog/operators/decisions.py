@@ -39,11 +39,12 @@ def kind_for(op: str = "op", field: str = "field") -> Column:
 def should_build(chunks: DataFrame, predicates: DataFrame, is_burst: bool, sketches: DataFrame | None = None, config: Config = Config()) -> DataFrame:
     """``seq, field, op, kind``: hot predicates on warm chunks, once for each index, none in a burst.
 
-    Chunks that are open, cold or without the field are left out. Predicates are a bounded top list.
+    Chunks that are open, cold or without the field are left out. Values don't matter to an index, so predicates
+    come down to the few pairs of field and operator that are asked for.
     """
     hot = predicates.where(F.col("freq") >= config.build_threshold_freq).select("field", "op", kind_for().alias("kind")).where("kind IS NOT NULL").distinct()
     warm = chunks.where((F.col("temp") >= config.min_temp_for_index) & (F.col("state") != "open") & (F.col("tier") == "hot"))
-    pairs = warm.join(F.broadcast(hot.limit(10_000)), how="cross")
+    pairs = warm.crossJoin(hot)
     if sketches is not None:
         pairs = pairs.join(sketches.select("seq", "field"), ["seq", "field"], "left_semi")
     out = pairs.select("seq", "field", "op", "kind")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from driftlog.config import Config
 from driftlog.plans import ir
+from driftlog.session import ship_package
 
 
 def index_id(seq: Column, kind: str, field: str) -> Column:
@@ -128,6 +129,7 @@ class BloomIndex(Index):
 
     def build(self, logs: DataFrame) -> DataFrame:
         rate = self.rate
+        ship_package(logs.sparkSession)
         # Distinct values first: a chunk's group is bounded by the chunk, and hot values are one row.
         values = logs.where(F.col(self.field).isNotNull()).select("seq", F.col(self.field).alias("value")).distinct()
 
@@ -143,6 +145,7 @@ class BloomIndex(Index):
     def gate(self, sidecar: DataFrame, values: list) -> DataFrame:
         """Chunks that may hold one of the values."""
         keys = [canonical(v) for v in values]
+        ship_package(sidecar.sparkSession)
 
         def admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:

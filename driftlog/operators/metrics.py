@@ -6,13 +6,17 @@ gathered in one place.
 
 from __future__ import annotations
 
+import struct
 from collections import Counter
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlog.config import Config
+from driftlog.session import ship_package
 
 BLOCK = 4096
 
@@ -149,6 +153,8 @@ def misra_gries(rows: DataFrame, key: str, k: int = Config.topk_k) -> DataFrame:
     Each task keeps k counters, and what reaches the last task is k counters from each.
     """
 
+    ship_package(rows.sparkSession)
+
     def summarise(batches):
         held: Counter = Counter()
         for batch in batches:
@@ -172,6 +178,41 @@ def _merge_rows(held: Counter, batch: pd.DataFrame, k: int) -> Counter:
     return misra_gries_merge(held, summed, k)
 
 
-def count_min(rows: DataFrame, key: str, eps: float = 0.002, confidence: float = 0.99, seed: int = 42) -> bytes:
-    """A count-min sketch of the key, of fixed size whatever the input."""
-    return bytes(rows.agg(F.count_min_sketch(F.col(key), F.lit(eps), F.lit(confidence), F.lit(seed))).first()[0])
+@dataclass(frozen=True)
+class CountMin:
+    """A count-min sketch: estimates are never below the true count."""
+
+    total: int
+    coefficients: np.ndarray
+    table: np.ndarray
+
+    @classmethod
+    def read(cls, blob: bytes) -> CountMin:
+        """From the bytes of Spark's aggregate: version, total, depth, width, coefficients, counters."""
+        _, total, depth, width = struct.unpack(">iqii", blob[:20])
+        numbers = np.frombuffer(blob[20:], ">i8").astype(np.int64)
+        return cls(total, numbers[:depth], numbers[depth:].reshape(depth, width))
+
+    def estimate(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of whole-number keys."""
+        with np.errstate(over="ignore"):
+            hashed = self.coefficients[:, None] * keys.astype(np.int64)[None, :]
+            hashed = ((hashed + (hashed >> 32)) & 0x7FFFFFFF) % self.table.shape[1]
+        return np.take_along_axis(self.table, hashed, axis=1).min(axis=0)
+
+
+def count_min(rows: DataFrame, key: str, eps: float = 0.002, confidence: float = 0.99, seed: int = 42) -> CountMin:
+    """A sketch of a whole-number key, of fixed size whatever the input. Hash other keys first."""
+    sketch = F.count_min_sketch(F.col(key).cast("long"), F.lit(eps), F.lit(confidence), F.lit(seed))
+    return CountMin.read(bytes(rows.agg(sketch).first()[0]))
+
+
+def with_estimates(rows: DataFrame, key: str, sketch: CountMin) -> DataFrame:
+    """``rows`` with the column ``estimate``."""
+    ship_package(rows.sparkSession)
+
+    @F.pandas_udf("long")
+    def estimate(keys: pd.Series) -> pd.Series:
+        return pd.Series(sketch.estimate(keys.to_numpy()))
+
+    return rows.withColumn("estimate", estimate(F.col(key).cast("long")))

@@ -361,13 +361,13 @@ def misra_gries(spark, sf_dir):
     return found.select("msg", ((n <= F.col("true_n")) & (n >= F.col("true_n") - F.col("slack"))).alias("within"))
 
 
-@query("cms_estimate", "SELECT count(*) > 0 AS at_least_true FROM lg")
+@query("cms_estimate", "SELECT level, count(*) AS n, true AS at_least_true FROM lg GROUP BY level")
 def cms_estimate(spark, sf_dir):
-    """The sketch's total is the number of rows, read from its bytes; it is never below a true count."""
-    logs = _logs(spark, sf_dir)
-    held = metrics.count_min(logs, "user_id")
-    total = int.from_bytes(held[4:12], "big")
-    return logs.agg((F.lit(total) >= F.count(F.lit(1))).alias("at_least_true"))
+    """Frequencies of field and operator are kept by a hash of their text; no estimate is below the true count."""
+    logs = _logs(spark, sf_dir).withColumn("_key", F.xxhash64(F.concat_ws("|", F.lit("level"), "level")))
+    truth = logs.groupBy("level", "_key").agg(F.count(F.lit(1)).alias("n"))
+    estimated = metrics.with_estimates(truth, "_key", metrics.count_min(logs, "_key"))
+    return estimated.select("level", "n", (F.col("estimate") >= F.col("n")).alias("at_least_true"))
 
 
 # Decisions

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,15 @@ def test_misra_gries_bounds(spark):
     assert misra_gries_merge(Counter(a=3, b=1), Counter(c=2), 2) == Counter(a=2, c=1)
 
 
+def test_count_min_bounds(spark):
+    rows = spark.createDataFrame([(k,) for k in range(10) for _ in range(100)], "k long")
+    sketch = metrics.count_min(rows, "k", eps=0.002)
+    keys = np.arange(-5, 2000)
+    got = dict(zip(keys.tolist(), sketch.estimate(keys).tolist()))
+    assert sketch.total == 1000 and all(got[k] >= 100 for k in range(10))
+    assert np.mean([got[k] for k in range(10, 2000)]) < 20
+
+
 def test_decay_cuts_and_drops(spark):
     got = metrics.decay(spark.createDataFrame([("a", 40), ("b", 11), ("c", 1)], "k string, n long"), "n")
     assert {r["k"]: r["n"] for r in got.collect()} == {"a": 20, "b": 5}
