@@ -22,7 +22,7 @@ from driftlog.session import ship_package
 
 UNDETERMINED = "und"
 MARK = "▁"
-CACHED_WORDS = 150_000
+CACHED_WORDS = 400_000
 #: Words up to this length are summed as plain numbers, longer ones as logarithms.
 PLAIN_LENGTH = 48
 #: Scales probabilities by letter so that products stay near 1; it cancels out.
@@ -31,7 +31,11 @@ LETTER_SCALE = 2.5
 _NUMERALS = "".join(
     chr(c) for c in range(0x110000) if chr(c).isalnum() and not chr(c).isalpha() and unicodedata.category(chr(c)) != "Nd"
 )
+#: Runs of letters: of any text, of text without numerals that word characters hold, of ASCII in lower case.
 LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+_NUMERAL_SET = frozenset(_NUMERALS)
+_LATIN_NUMERALS = [c for c in _NUMERALS if c < "\u0100"]
+_FAST, _ASCII = re.compile(r"[^\W\d_]+"), re.compile(r"[a-z]+")
 
 
 def letter_pieces(model_file: str | None = None) -> list[str]:
@@ -186,7 +190,15 @@ def word_logs(words: list[str], trie: PieceTrie, logp: np.ndarray) -> np.ndarray
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    text = text.lower()
+    if text.isascii():
+        return _ASCII.findall(text)
+    try:
+        text.encode("latin-1")
+        plain = not any(c in text for c in _LATIN_NUMERALS)
+    except UnicodeEncodeError:
+        plain = _NUMERAL_SET.isdisjoint(text)
+    return (_FAST if plain else LETTERS).findall(text)
 
 
 def base_logs(pieces: list[str], offset: float = 200.0, unknown: float = 1e-9) -> np.ndarray:
@@ -273,45 +285,54 @@ def fit_languages(
         .mapInArrow(lambda b: expected_counts(b, pieces), "lang string, piece int, n double")
         .groupBy("lang", "piece")
         .agg(F.sum("n").alias("n"))
-        .toPandas()
+        .toArrow()
     )
     base = np.exp(base_logs(pieces)[:, 0])
     counts = np.zeros((len(pieces) + 1, len(langs)))
-    counts[counted["piece"].to_numpy(int), counted["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(int)] = counted["n"].to_numpy(float)
+    column = {x: k for k, x in enumerate(langs)}
+    counts[counted["piece"].to_numpy(), [column[x] for x in counted["lang"].to_pylist()]] = counted["n"].to_numpy()
     counts += smoothing * base[:, None]
     return LanguageModel(langs, pieces, np.log(counts / counts.sum(axis=0)))
 
 
-def predict_batches(batches: Iterable[pa.RecordBatch], model: LanguageModel) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, lang_pred, score)."""
+def predictor(model: LanguageModel):
+    """A function from texts to the number of the best language (that of none: one more than the last) and its score."""
     trie = PieceTrie(model.pieces)
     known: dict[str, int] = {}
     logs = np.zeros((0, len(model.langs)))
+
+    def predict(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal known, logs
+        if len(known) > CACHED_WORDS:
+            known, logs = {}, np.zeros((0, len(model.langs)))
+        found = [words_of(t) for t in texts]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        if not model.langs:
+            return np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        flat = [w for ws in found for w in ws]
+        get = known.get
+        rows = [get(w, -1) for w in flat]
+        if -1 in rows:
+            new = list(dict.fromkeys(w for w, k in zip(flat, rows) if k < 0))
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            logs = np.concatenate([logs, *(word_logs(new[i : i + 20_000], trie, model.logp) for i in range(0, len(new), 20_000))])
+            rows = [get(w) for w in flat]
+        total = sums(logs[np.array(rows, np.int64)], counts)
+        score = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        return np.where(counts == 0, len(model.langs), total.argmax(axis=1)), np.where(counts == 0, 0.0, score)
+
+    return predict
+
+
+def predict_batches(batches: Iterable[pa.RecordBatch], model: LanguageModel) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, lang_pred, score)."""
+    predict = predictor(model)
     names = np.array([*model.langs, UNDETERMINED], dtype=object)
     for whole in batches:
         for batch in slices(whole, 1):
-            if len(known) > CACHED_WORDS:
-                known, logs = {}, np.zeros((0, len(model.langs)))
-            found = [words_of(t) for t in filled(batch.column(1)).to_pylist()]
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            flat = [w for ws in found for w in ws]
-            new = list(dict.fromkeys(w for w in flat if w not in known))
-            if new and model.langs:
-                for w in new:
-                    known[w] = len(known)
-                parts = [word_logs(new[i : i + 20_000], trie, model.logp) for i in range(0, len(new), 20_000)]
-                logs = np.concatenate([logs, *parts])
-            if model.langs:
-                total = sums(logs[[known[w] for w in flat]] if flat else np.zeros((0, len(model.langs))), counts)
-                best = total.argmax(axis=1)
-                score = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-            else:
-                best, score = np.zeros(len(found), np.int64), np.zeros(len(found))
-            none = (counts == 0) | (len(model.langs) == 0)
-            best = np.where(none, len(model.langs), best)
+            best, score = predict(filled(batch.column(1)).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names[best], pa.string()), pa.array(np.where(none, 0.0, score), pa.float64())],
-                names=["id", "lang_pred", "score"],
+                [batch.column(0), pa.array(names[best], pa.string()), pa.array(score, pa.float64())], names=["id", "lang_pred", "score"]
             )
 
 
@@ -329,6 +350,23 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     return rows.mapInArrow(lambda b: predict_batches(b, model), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def accepted_batches(batches: Iterable[pa.RecordBatch], model: LanguageModel, text_at: int, least: float) -> Iterator[pa.RecordBatch]:
+    """The rows whose language is determined with at least the given score."""
+    scored = predictor(model)
+    for whole in batches:
+        for batch in slices(whole, text_at):
+            lang, score = scored(filled(batch.column(text_at)).to_pylist())
+            yield batch.filter(pa.array((lang < len(model.langs)) & (score >= least)))
+
+
+def keep_determined(docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose language can't be told: those that ``predict_languages`` calls ``und`` and
+    those below ``least``. Columns and other rows as they came; nothing is shuffled."""
+    ship_package(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(lambda b: accepted_batches(b, model, at, least), docs.schema)
+
+
 def held_out(id_col: str = "doc_id", parts: int = 3, part: int = 1) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part
 
