@@ -214,6 +214,22 @@ def open_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found_q, pa.int64()), pa.array(found_m, pa.int64())], names=["a", "b"])
 
 
+def _most_frequent(counted: DataFrame) -> pa.Table:
+    """The most frequent tokens, no more than FREQUENT_TOKENS: all whose count has at least so many binary digits.
+
+    The order of tokens is free for the result, so the cut needs no exact rank and no sort of all tokens.
+    """
+    digits = F.length(F.bin("n"))
+    sizes = {r["d"]: r["n"] for r in counted.groupBy(digits.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, least = 0, 64
+    for d in sorted(sizes, reverse=True):
+        total += sizes[d]
+        if total > FREQUENT_TOKENS:
+            break
+        least = d
+    return counted.where(digits >= least).toArrow()
+
+
 def _few(ids: DataFrame) -> DataFrame:
     """Marks a written table of keys for broadcast if it is small; else the join shuffles."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
@@ -265,16 +281,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = placed.groupBy("gid").agg(F.min("n").alias("gmin"), F.max("n").alias("gmax"))
 
     # Prefix tokens that two documents share.
-    often = (
-        ours.select("tokens").mapInArrow(repeated_tokens, "token long, n long")
-        .groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT_TOKENS).toPandas()
-    )
+    often = _most_frequent(written(ours.select("tokens").mapInArrow(repeated_tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "jaccard-often"))
     context = spark.sparkContext
-    order = context.broadcast((often["token"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)))
+    order = context.broadcast((often["token"].to_numpy().view(np.uint64), often["n"].to_numpy()))
     prefix = lambda wanted: ours.select("id", "tokens").mapInArrow(lambda b: prefix_batches(b, order, wanted), "token long, id long")
     shared = written(prefix(None).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token"), "jaccard-shared")
     if shared.count() <= BROADCAST_KEYS:
-        wanted = np.sort(shared.toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+        wanted = np.sort(shared.toArrow()["token"].to_numpy().view(np.uint64))
         postings = prefix(context.broadcast(wanted))
     else:
         postings = prefix(None).join(shared, "token", "left_semi")
