@@ -81,7 +81,7 @@ def set_batches(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.Re
     """(id, text) to the columns of SETS."""
     shingler = Shingler(words)
     for whole in batches:
-        for batch in slices(whole, 1):
+        for batch in slices(whole, 1, 1 << 20):
             data, bounds = flat(filled(batch.column(1)))
             values, counts = shingler.sets(data, bounds)
             runs = np.r_[0, np.cumsum(counts)]
@@ -98,7 +98,7 @@ def set_batches(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.Re
 
 
 def repeated_tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tokens) to (token, count) of those met LOCAL_REPEATS times in a run of some million tokens."""
+    """(tokens) to (token, count) of those met LOCAL_REPEATS times in a run of two million tokens."""
     held: list[np.ndarray] = []
 
     def tell() -> Iterator[pa.RecordBatch]:
@@ -108,9 +108,9 @@ def repeated_tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             held.clear()
             yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=["token", "n"])
 
-    for batch in batches:
+    for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
         held.append(values_of(batch.column(0))[0])
-        if sum(map(len, held)) > 6_000_000:
+        if sum(map(len, held)) > 2_000_000:
             yield from tell()
     yield from tell()
 
@@ -140,8 +140,8 @@ def prefix_batches(batches: Iterable[pa.RecordBatch], order, wanted=None) -> Ite
     ordering = TokenOrder(*order.value)
     some = None if wanted is None else wanted.value
     for batch in batches:
-        for at in range(0, batch.num_rows, 2_000):
-            part = batch.slice(at, 2_000)
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
             values, counts = values_of(part.column(1))
             tokens, sizes = ordering.prefixes(values, counts)
             ids = np.repeat(part.column(0).to_numpy(), sizes)
@@ -158,7 +158,7 @@ def similar(shared: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int):
 
 def pair_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, tokens of a, tokens of b) to the pairs (a, b) that link."""
-    for batch in batches:
+    for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
         left, nl = values_of(batch.column(2))
         right, nr = values_of(batch.column(3))
         owner = np.r_[np.repeat(np.arange(len(nl)), nl), np.repeat(np.arange(len(nr)), nr)]
@@ -180,7 +180,7 @@ def open_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     members: list[np.ndarray] = []
     ids: list[int] = []
     table: tuple[np.ndarray, ...] | None = None
-    for batch in batches:
+    for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
         found_q, found_m = [], []
         values, counts = values_of(batch.column(4))
         ends = np.cumsum(counts)

@@ -60,7 +60,7 @@ def spread_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """(site, text) to distinct (line, site) of each part of the input; null sites are the empty name's."""
     shingler = Shingler(1)
     for whole in batches:
-        for batch in slices(whole, 1, 16 << 20):
+        for batch in slices(whole, 1, 4 << 20):
             data, bounds = flat(filled(batch.column(1)))
             row, _, _, line = line_hashes(data, bounds, shingler)
             names, site = np.unique(np.array(filled(batch.column(0)).to_pylist(), dtype=object), return_inverse=True)

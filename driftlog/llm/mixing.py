@@ -58,7 +58,7 @@ def word_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(domain, text) to (word, domain, n): in how many texts of the domain the word occurs."""
     shingler = Shingler(1)
     for whole in batches:
-        for batch in slices(whole, 1, 16 << 20):
+        for batch in slices(whole, 1, 4 << 20):
             data, bounds = flat(filled(batch.column(1)))
             words, counts = shingler.word_hashes(data, bounds)
             owner = np.repeat(np.arange(len(counts)), counts)
