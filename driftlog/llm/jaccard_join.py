@@ -32,7 +32,7 @@ from driftlog.llm.text_buffers import filled, flat, slices
 from driftlog.session import ship_package, written
 
 #: Bins of the minima and bins in a band of them.
-BINS, BAND = 32, 2
+BINS, BAND = 32, 4
 #: Members of a group, on average at most.
 GROUP_SIZE = 64
 #: A token counts as frequent if some task meets it so often; the table of frequent tokens is bounded.
@@ -271,11 +271,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sized = ours.select("id", "n").distinct().join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     big = written(first.groupBy(F.col("component").alias("comp")).agg(F.count(F.lit(1)).alias("csize")), "jaccard-big")
     size_band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.05)))
-    part = F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.lit(1), F.ceil(F.col("csize") / GROUP_SIZE)))
+    banded = written(sized.join(big, "comp", "left").withColumn("csize", F.coalesce("csize", F.lit(1))).withColumn("size_band", size_band), "jaccard-banded")
+    held = written(banded.where("csize > 1").groupBy("comp", "size_band").agg(F.count(F.lit(1)).alias("held")), "jaccard-held")
+    part = F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.lit(1), F.ceil(F.col("held") / GROUP_SIZE)))
     placed = written(
-        sized.join(big, "comp", "left")
-        .withColumn("csize", F.coalesce("csize", F.lit(1)))
-        .withColumn("gid", F.when(F.col("csize") == 1, F.xxhash64("comp")).otherwise(F.xxhash64("comp", size_band, part))),
+        banded.join(held, ["comp", "size_band"], "left")
+        .withColumn("gid", F.when(F.col("csize") == 1, F.xxhash64("comp")).otherwise(F.xxhash64("comp", "size_band", part)))
+        .select("id", "n", "comp", "csize", "gid"),
         "jaccard-placed",
     )
     groups = placed.groupBy("gid").agg(F.min("n").alias("gmin"), F.max("n").alias("gmax"))
