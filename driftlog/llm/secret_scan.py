@@ -15,6 +15,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A name that holds one of the words anywhere, and what stands before the value. Each part is possessive and
+#: names begin where no name goes on, so that a long run is read once.
+LEAD = r"[\w.-]++[\"']?[ \t]*+[:=][ \t]*+[\"']?"
+ASSIGNMENT = (
+    r"(?i:(?<![\w.-])(?=[\w.-]*?(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential))" + LEAD + r")[^\s\"',;]{8,}"
+)
 #: Kinds of candidates in order: the first that matches at a place counts.
 PATTERNS = {
     "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----",
@@ -24,8 +30,8 @@ PATTERNS = {
     "google_key": r"\bAIza[0-9A-Za-z_-]{35}",
     "stripe_key": r"\b[rs]k_(?:live|test)_[0-9A-Za-z]{16,}",
     "web_token": r"\beyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
-    "assignment": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?)[^\s\"',;]{8,}",
-    "high_entropy": r"(?<![0-9A-Za-z+/_=-])(?=[A-Za-z+/_-]{0,60}[0-9])[0-9A-Za-z+/_-]{24,}={0,2}",
+    "assignment": ASSIGNMENT,
+    "high_entropy": r"(?<![0-9A-Za-z+/_-])(?=[A-Za-z+/_-]{0,60}[0-9])(?=[0-9A-Za-z+/_-]{24})(?![\w.+/-]*?" + ASSIGNMENT + r")[0-9A-Za-z+/_-]{24,}={0,2}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 OPEN, CLOSE = "\x01", "\x02"
@@ -84,7 +90,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = F.lit("high_entropy")
     for name, pattern in reversed(list(PATTERNS.items())):
         kind = F.when(match.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(kind)
-    lead = F.regexp_extract(match, r"^(?i:[a-z_-]+[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?)", 0)
+    lead = F.regexp_extract(match, f"^{LEAD}", 0)
     return (
         with_starts.withColumn("kind", kind)
         .withColumn("lead", F.when(F.col("kind") == "assignment", lead).otherwise(F.lit("")))

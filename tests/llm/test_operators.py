@@ -353,6 +353,21 @@ def test_secrets(spark):
     assert without.count() == 9
 
 
+def test_secrets_under_longer_names(spark):
+    hex32, base64 = "179546abd2dbb60910f3c2a4e5d6b798", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzzzzzKEY"
+    texts = {
+        "DB_PASSWORD=Zx9!kQ2#vT7": "Zx9!kQ2#vT7", 'client_secret = "Zx9kQ2vT7aa"': "Zx9kQ2vT7aa", f"MY_API_KEY={hex32}": hex32,
+        f"export AWS_SECRET_ACCESS_KEY={base64}": base64, "password" + " " * 7 + "= Zx9kQ2vT7aa": "Zx9kQ2vT7aa", "app.db-password2:\t\t\t\t\t\tZx9kQ2vT7aa": "Zx9kQ2vT7aa",
+        '{"authToken" : "Zx9kQ2vT7aa"}': "Zx9kQ2vT7aa", "+MY_SERVICE_NUMBER_1_API_KEY=Zx9kQ2vT7aa": "Zx9kQ2vT7aa", f"id={hex32}": hex32,
+    }
+    found = secret_scan.candidates(frame(spark, list(texts))).collect()
+    want = {(k, text.index(value), "high_entropy" if text.startswith("id") else "assignment", value) for k, (text, value) in enumerate(texts.items())}
+    assert {(r["id"], r["start"], r["kind"], r["value"]) for r in found} == want and len(found) == len(want)
+    # Long runs are read once.
+    long = ["token" * 40_000, "a." * 100_000, "pwd" + " " * 200_000, "pwd-" * 50_000 + " " * 50_000, "/a1" * 1_000]
+    assert {(r["id"], r["kind"]) for r in secret_scan.candidates(frame(spark, long)).collect()} == {(4, "high_entropy")}
+
+
 def test_forest_in_columns_equals_the_trees(spark):
     findings = secret_scan.labelled_findings(800, 11)
     forest = secret_scan.train_forest(spark, findings[:600])
