@@ -2,7 +2,8 @@
 
 A rule is (priority, label, keywords, pattern): the pattern is tried only where all its keywords
 stand in the lower-cased text. A lower priority number wins. In patterns a space means any run of
-blanks and comment marks.
+blanks and comment marks: patterns are tried on a text whose longer runs are shortened to as many
+bytes as a space matches (``shortened``), which keeps their windows small. A dot crosses lines.
 """
 
 from __future__ import annotations
@@ -161,13 +162,31 @@ PHRASES = """
 """
 
 _GAP = rb"[\s*#/;|-]{1,8}"
+_LONG_GAP = re.compile(rb"[\s*#/;|-]{9,}")
 _WORD = rb"0-9a-z\x80-\xff"
 _LEAD = re.compile(r"[a-z0-9]{3,}")
 
 
 def _compiled(pattern: str) -> re.Pattern[bytes]:
     raw = pattern.encode("latin-1").replace(b" ", _GAP).replace(_GAP + b"?", b"(?:" + _GAP + b")?")
-    return re.compile(rb"(?<![" + _WORD + rb"])(?:" + raw + rb")(?![" + _WORD + rb"])")
+    return re.compile(rb"(?<![" + _WORD + rb"])(?:" + raw + rb")(?![" + _WORD + rb"])", re.DOTALL)
+
+
+def shortened(text: bytes) -> tuple[bytes, list[int], list[int]]:
+    """The text with every run of more than 8 blanks and marks cut to 8, and where pieces begin in it and in the text.
+
+    A shortened run keeps its ends, and a blank between them if it holds one.
+    """
+    pieces, at, origin, size, last = [], [0], [0], 0, 0
+    for m in _LONG_GAP.finditer(text):
+        run = m.group()
+        head = run[:4] + (b" " if run.split(maxsplit=1) != [run] else run[4:5])
+        pieces += [text[last : m.start()], head]
+        size += m.start() - last + len(head)
+        last = m.end() - 3
+        at.append(size)
+        origin.append(last)
+    return b"".join([*pieces, text[last:]]), at, origin
 
 
 def _keyword(pattern: str) -> bytes:

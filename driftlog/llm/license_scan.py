@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlog.llm.license_rules import Rule, rules
+from driftlog.llm.license_rules import Rule, rules, shortened
 from driftlog.llm.text_buffers import filled, flat, per_row_counts, slices
 from driftlog.session import ship_package
 
@@ -108,8 +108,9 @@ class Scanner:
         """What the rules find in one lower-cased text, after suppression.
 
         A match holds its keywords, so a pattern is tried no further than its greatest width from one
-        of them (base phrases have no such width and see the whole text).
+        of them (base phrases have no such width and see the whole text). Spans are those in the text as given.
         """
+        text, at, origin = shortened(text)
         places: dict[bytes, list[int]] = {}
         for k in self.words:
             if k in text:
@@ -119,6 +120,9 @@ class Scanner:
             if pivot in places and all(k in places for k in rule.keywords):
                 for lo, hi in windows(places[pivot], reach, len(pivot), len(text)):
                     found += [(rule, m.start(), m.end()) for m in rule.pattern.finditer(text, lo, hi)]
+        if len(at) > 1:
+            there = lambda k: k + origin[(j := bisect_right(at, k) - 1)] - at[j]
+            found = [(rule, there(a), there(b - 1) + 1) for rule, a, b in found]
         return suppressed(found)
 
 

@@ -132,6 +132,17 @@ def test_licence_labels(text, labels):
     assert {d[0].label for d in license_scan.Scanner().detections(text.lower().encode())} == labels
 
 
+def test_licence_notices_over_lines():
+    scanner = license_scan.Scanner()
+    found = lambda text: {d[0].label: text[d[1] : d[2]] for d in scanner.detections(text)}
+    for gap in (b"\n     * ", b"\n" + b" " * 8 + b"* ", b"\n//" + b" " * 500 + b"\n//\n//" + b"\t" * 90):
+        mit = b"permission is hereby granted, free of charge, to any person" + gap + b"obtaining a copy"
+        assert found(b"/*" + b" " * 40 + mit + gap + b"of it") == {"mit": mit}
+        bsd = b"neither the name of the copyright holder nor the names of its" + gap + b"contributors may be used to endorse or" + gap + b"promote products"
+        assert found(b"-" * 70 + b"\n" + bsd + b" derived" + gap) == {"bsd-3-clause": bsd}
+    assert found(b"see joinup.ec.europa.eu/" + b"/" * 6 + b" " + b"/" * 6 + b"eupl-1.2") == {}
+
+
 def test_licence_windows_and_suppression_lose_nothing():
     scanner = license_scan.Scanner()
     assert len(scanner.table) >= 200 and [r.priority for r in scanner.table] == sorted(r.priority for r in scanner.table)
