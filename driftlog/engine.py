@@ -24,11 +24,15 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, config: Config = Config()):
         self.spark, self.root, self.config = spark, root.rstrip("/"), config
         self.sidecars: dict[tuple[str, str], str] = {}
+        self.covered: dict[tuple[str, str], set[int]] = {}
         self.hot: dict[int, DataFrame] = {}
         self.query_events: list[dict] = []
 
     def load(self, logs: DataFrame, bloom_fields: tuple[str, ...] = ()) -> None:
-        """Appends sealed chunks and their headers."""
+        """Appends sealed chunks and their headers. Sidecars don't cover what is loaded after them."""
+        if self.covered:
+            loaded = self._chunks(logs)
+            self.covered = {key: seqs - loaded for key, seqs in self.covered.items()}
         write_chunks(logs, f"{self.root}/logs", "append", bloom_fields)
         chunks.headers(logs).write.mode("append").parquet(f"{self.root}/headers")
 
@@ -40,6 +44,10 @@ class Engine:
     def headers(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/headers")
 
+    @staticmethod
+    def _chunks(logs: DataFrame) -> set[int]:
+        return {r["seq"] for r in logs.where("seq is not null").select("seq").distinct().collect()}
+
     def next_seq(self) -> int:
         """After a restart numbering goes on from the largest chunk."""
         return int(self.headers.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]) + 1
@@ -55,23 +63,29 @@ class Engine:
         return search.run(query, self._through_index(query), self.headers if query.time_range else None, time_mode)
 
     def _through_index(self, query: ir.Query) -> DataFrame:
-        """The logs, or what a sidecar leaves of them if a leaf that must hold has one. The filter runs on it all the same."""
+        """The logs, or what a sidecar leaves of them if a leaf that must hold has one. The filter runs on it all the same.
+
+        Chunks that the sidecar doesn't cover are scanned; both parts are cut by partition.
+        """
         parts = query.where.parts if isinstance(query.where, ir.And) else (query.where,)
         built = [indexes.make_index(kind, field) for kind, field in self.sidecars]
         for leaf in parts:
             if isinstance(leaf, ir.Predicate) and (index := indexes.pick(built, leaf)):
                 sidecar = self.spark.read.parquet(self.sidecars[index.kind, index.field])
-                return index.lookup(sidecar, self.logs, leaf)
+                logs, inside = self.logs, F.coalesce(F.col("seq").isin(self.covered[index.kind, index.field]), F.lit(False))
+                return index.lookup(sidecar, logs.where(inside), leaf).unionByName(logs.where(~inside))
         return self.logs
 
     def build_index(self, kind: str, field: str) -> DataFrame:
         path = f"{self.root}/sidecars/{kind}-{field}-{uuid.uuid4().hex}"
-        indexes.make_index(kind, field).build(self.logs).write.parquet(path)
-        self.sidecars[kind, field] = path
+        logs = self.logs
+        indexes.make_index(kind, field).build(logs).write.parquet(path)
+        self.sidecars[kind, field], self.covered[kind, field] = path, self._chunks(logs)
         return self.spark.read.parquet(path)
 
     def drop_index(self, kind: str, field: str) -> None:
         self.sidecars.pop((kind, field), None)
+        self.covered.pop((kind, field), None)
 
     def promote(self, seq: int) -> None:
         if seq not in self.hot:

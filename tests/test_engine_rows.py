@@ -146,6 +146,21 @@ def test_engine_end_to_end(spark, logs, tmp_path):
     assert {e["field"] for e in engine.query_events} == {"service", "level", "ts"}
 
 
+@pytest.mark.parametrize("kind, field, text", [("hash", "level", 'level = "ERROR"'), ("bloom", "service", 'service = "auth"'), ("skip", "ts", "ts >= 10 and ts <= 50")])
+def test_sidecars_and_chunks_loaded_later(spark, logs, tmp_path, kind, field, text):
+    engine = Engine(spark, str(tmp_path / "engine"))
+    rows = lambda: sorted((r["seq"], r["pos"]) for r in engine.find(text).collect())
+    engine.load(logs.where("seq < 2 and pos != 0"))
+    engine.build_index(kind, field)
+    engine.load(logs.where("seq >= 2 or pos = 0"))  # new chunks, and a row more of an indexed one
+    after = rows()
+    assert {seq for seq, _ in after} == {0, 1, 2, 3}
+    engine.build_index(kind, field)
+    assert rows() == after
+    engine.drop_index(kind, field)
+    assert rows() == after
+
+
 def test_json_lines_round_trip(spark, logs, tmp_path):
     path = str(tmp_path / "cold")
     export_json_lines(logs, path)
