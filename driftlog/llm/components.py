@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlog.session import written
+from driftlog.session import discard, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", tag: str = "components") -> DataFrame:
     """``node, component`` for every node that has a link; the component is its smallest node.
 
     Null ends and links of a node with itself are ignored; repeated links count once; no links give an
-    empty result. Each round is written to the shared folder, so lineage stays short. Minima are
-    aggregated before the shuffle; the joins have plain exchanges on both sides, which adaptive
-    execution can split at a hub.
+    empty result. Each round is written to the shared folder, so lineage stays short, and removed once the next
+    stands; the result is a written table too. Minima are aggregated before the shuffle; the joins have plain
+    exchanges on both sides, which adaptive execution can split at a hub.
     """
     edges = written(
         links.where(F.col(a) != F.col(b))
@@ -31,12 +31,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b", tag: str = "compone
         )
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small, "u")
-        edges = written(
+        after = written(
             joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(small.select("u", "m")).distinct(), tag
         )
+        discard(edges, large)
+        edges = after
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    found = written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), tag)
+    discard(edges)
+    return found

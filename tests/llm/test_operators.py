@@ -227,7 +227,8 @@ def test_jaccard_without_star_links_or_broadcast(spark, monkeypatch):
     """The matrix alone finds all links, and the ways beyond the broadcast bounds give the same."""
     monkeypatch.setattr(jaccard_join, "BROADCAST_KEYS", -1)
     monkeypatch.setattr(jaccard_join, "QUERIES_PER_COPY", 3)
-    monkeypatch.setattr(jaccard_join, "_links", lambda sets, pairs: pairs.select(pairs["id"].alias("a"), pairs["star"].alias("b")).limit(0))
+    monkeypatch.setattr(jaccard_join, "GROUP_SIZE", 4)
+    monkeypatch.setattr(jaccard_join, "_star_links", lambda texts, near, words: near.select(near["id"].alias("a"), near["gid"].alias("b")).where("false"))
     texts = near_texts()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(frame(spark, texts)).collect()}
     assert got == plain_components(texts)
