@@ -72,17 +72,23 @@ class Shingler:
         ends = np.cumsum(counts)
         row = np.repeat(np.arange(len(counts)), counts)
         left = ends[row] - np.arange(len(words))  # words from here to the row's end
-        short = counts[row] < self.words
         whole = left >= self.words
-        first = short & (left == counts[row])
-        at = np.flatnonzero(whole | first)
+        at = np.flatnonzero(whole | ((counts[row] < self.words) & (left == counts[row])))
         value = np.zeros(len(at), np.uint64)
-        for k in range(self.words):
-            there = k < left[at]
-            value = np.where(there, _mix(value * np.uint64(0x100000001B3) + words[np.minimum(at + k, len(words) - 1)]), value)
+        full = whole[at]
+        for some, there in ((full, None), (~full, left[at[~full]])):
+            place, mixed = at[some], np.zeros(int(some.sum()), np.uint64)
+            for k in range(self.words):
+                if there is None:
+                    mixed = _mix(mixed * np.uint64(0x100000001B3) + words[place + k])
+                else:
+                    mixed = np.where(k < there, _mix(mixed * np.uint64(0x100000001B3) + words[np.minimum(place + k, len(words) - 1)]), mixed)
+            value[some] = mixed
         owner = row[at]
-        order = np.lexsort((value, owner))
-        value, owner = value[order], owner[order]
+        cuts = np.searchsorted(owner, np.arange(len(counts) + 1))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):  # a row at a time: far faster than by two keys
+            if hi - lo > 1:
+                value[lo:hi].sort()
         fresh = np.ones(len(value), bool)
         fresh[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
         return value[fresh], np.bincount(owner[fresh], minlength=len(counts))
