@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlog.llm.text_buffers import filled, slices, sums
-from driftlog.session import ship_package
+from driftlog.llm.text_buffers import filled, slices, sums, unit_hash
+from driftlog.session import lean, ship_package
 
 UNDETERMINED = "und"
 MARK = "▁"
-CACHED_WORDS = 400_000
-#: Words up to this length are summed as plain numbers, longer ones as logarithms.
-PLAIN_LENGTH = 48
+CACHED_WORDS = 300_000
+#: Words up to this length are summed as plain numbers, longer ones, and those whose sum comes out below TINY, as logarithms.
+PLAIN_LENGTH, TINY = 48, 1e-250
 #: Scales probabilities by letter so that products stay near 1; it cancels out.
 LETTER_SCALE = 2.5
 
@@ -162,33 +162,78 @@ def forward(net: Lattice, logp: np.ndarray, log_space: bool) -> np.ndarray:
     return alpha
 
 
-def backward(net: Lattice, logp: np.ndarray) -> np.ndarray:
-    """As ``forward``, from each node to its word's end, in plain numbers."""
-    weight = np.exp(logp[net.piece] + LETTER_SCALE * net.length[:, None])
+def backward(net: Lattice, logp: np.ndarray, log_space: bool) -> np.ndarray:
+    """As ``forward``, from each node to its word's end."""
+    weight = logp[net.piece] + LETTER_SCALE * net.length[:, None]
     word = np.searchsorted(net.first, net.end, side="right") - 1
     step = net.last[word] - net.start
     order = np.lexsort((net.start, step))
-    beta = np.zeros((net.nodes, logp.shape[1]))
-    beta[net.last] = 1.0
+    beta = np.full((net.nodes, logp.shape[1]), -np.inf if log_space else 0.0)
+    beta[net.last] = 0.0 if log_space else 1.0
+    if not log_space:
+        weight = np.exp(weight)
     for these, runs, to in _passes(order, net.start, step):
-        beta[to] = np.add.reduceat(beta[net.end[these]] * weight[these], runs, axis=0)
+        if log_space:
+            beta[to] = np.logaddexp.reduceat(beta[net.end[these]] + weight[these], runs, axis=0)
+        else:
+            beta[to] = np.add.reduceat(beta[net.end[these]] * weight[these], runs, axis=0)
     return beta
 
 
+def _plain(words: list[str], trie: PieceTrie, logp: np.ndarray) -> tuple[np.ndarray, Lattice | None, np.ndarray]:
+    """Which words plain numbers hold: short ones, under models that don't make them next to impossible; their
+    lattice and forward sums."""
+    plain = np.fromiter((len(w) <= PLAIN_LENGTH for w in words), bool, len(words))
+    if not plain.any():
+        return plain, None, np.zeros((0, logp.shape[1]))
+    net = lattice([w for w, p in zip(words, plain) if p], trie)
+    alpha = forward(net, logp, False)
+    low = alpha[net.last].min(axis=1) < TINY
+    if low.any():
+        plain[np.flatnonzero(plain)[low]] = False
+        return _plain_of(words, plain, trie, logp)
+    return plain, net, alpha
+
+
+def _plain_of(words: list[str], plain: np.ndarray, trie: PieceTrie, logp: np.ndarray) -> tuple[np.ndarray, Lattice | None, np.ndarray]:
+    some = [w for w, p in zip(words, plain) if p]
+    net = lattice(some, trie) if some else None
+    return plain, net, forward(net, logp, False) if net else np.zeros((0, logp.shape[1]))
+
+
 def word_logs(words: list[str], trie: PieceTrie, logp: np.ndarray) -> np.ndarray:
     """Log likelihood of each word by each model, over all its segmentations."""
     out = np.zeros((len(words), logp.shape[1]))
-    long = np.fromiter((len(w) > PLAIN_LENGTH for w in words), bool, len(words))
-    for log_space, rows in ((False, np.flatnonzero(~long)), (True, np.flatnonzero(long))):
-        if len(rows):
-            some = [words[i] for i in rows]
-            net = lattice(some, trie)
-            total = forward(net, logp, log_space)[net.last]
-            sizes = net.last - net.first
-            out[rows] = (total if log_space else np.log(total)) - LETTER_SCALE * sizes[:, None]
+    plain, net, alpha = _plain(words, trie, logp)
+    if net:
+        out[plain] = np.log(alpha[net.last]) - LETTER_SCALE * (net.last - net.first)[:, None]
+    if not plain.all():
+        net = lattice([w for w, p in zip(words, plain) if not p], trie)
+        out[~plain] = forward(net, logp, True)[net.last] - LETTER_SCALE * (net.last - net.first)[:, None]
     return out
 
 
+def piece_counts(words: list[str], times: np.ndarray, trie: PieceTrie, logp: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in the words, over all their segmentations under one model."""
+    total = np.zeros(len(logp))
+    plain, net, alpha = _plain(words, trie, logp)
+    for log_space, some in ((False, plain), (True, ~plain)):
+        if not some.any():
+            continue
+        if log_space:
+            net = lattice([w for w, p in zip(words, some) if p], trie)
+            alpha = forward(net, logp, True)
+        a, b = alpha[:, 0], backward(net, logp, log_space)[:, 0]
+        word = np.searchsorted(net.first, net.start, side="right") - 1
+        edge = logp[net.piece, 0] + LETTER_SCALE * net.length
+        if log_space:
+            share = np.exp(a[net.start] + edge + b[net.end] - a[net.last][word])
+        else:
+            share = a[net.start] * np.exp(edge) * b[net.end] / a[net.last][word]
+        total += np.bincount(net.piece, share * times[some][word], minlength=len(logp))
+    return total
+
+
 def words_of(text: str) -> list[str]:
     text = text.lower()
     if text.isascii():
@@ -207,6 +252,21 @@ def base_logs(pieces: list[str], offset: float = 200.0, unknown: float = 1e-9) -
     return np.log(np.r_[weight / weight.sum(), unknown])[:, None]
 
 
+def _parts(words: list[str], letters: int = 200_000) -> Iterator[list[str]]:
+    """Runs of words with about so many letters, so that lattices stay small; a longer word is a run of its own."""
+    run: list[str] = []
+    size = 0
+    for w in words:
+        if run and size + len(w) > letters:
+            yield run
+            run, size = [], 0
+        run.append(w)
+        size += len(w) + 1
+    if run:
+        yield run
+
+
+@lean
 def expected_counts(batches: Iterable[pa.RecordBatch], pieces: list[str]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to (lang, piece, count): expected counts under the base model, a row per language and piece at most."""
     trie, logp = PieceTrie(pieces), base_logs(pieces)
@@ -214,16 +274,9 @@ def expected_counts(batches: Iterable[pa.RecordBatch], pieces: list[str]) -> Ite
 
     def add(counts: dict[str, dict[str, int]]) -> None:
         for lang, of in counts.items():
-            words = [w for w in of if len(w) <= PLAIN_LENGTH]
-            for at in range(0, len(words), 20_000):
-                some = words[at : at + 20_000]
-                times = np.array([of[w] for w in some], float)
-                net = lattice(some, trie)
-                a, b = forward(net, logp, False)[:, 0], backward(net, logp)[:, 0]
-                word = np.searchsorted(net.first, net.start, side="right") - 1
-                share = a[net.start] * np.exp(logp[net.piece, 0] + LETTER_SCALE * net.length) * b[net.end] / a[net.last][word]
-                sums_ = np.bincount(net.piece, share * times[word], minlength=len(pieces) + 1)
-                total[lang] = total.get(lang, 0) + sums_
+            words = list(of)
+            for some in _parts(words):
+                total[lang] = total.get(lang, 0) + piece_counts(some, np.array([of[w] for w in some], float), trie, logp)
 
     waiting: dict[str, dict[str, int]] = {}
     for batch in batches:
@@ -235,7 +288,7 @@ def expected_counts(batches: Iterable[pa.RecordBatch], pieces: list[str]) -> Ite
                 add({lang: waiting.pop(lang)})
     add(waiting)
     for lang, counts in total.items():
-        there = np.flatnonzero(counts[:-1] > 1e-3)
+        there = np.flatnonzero(counts[:-1] > 0)
         yield pa.RecordBatch.from_arrays(
             [pa.array([lang] * len(there), pa.string()), pa.array(there, pa.int32()), pa.array(counts[there])],
             names=["lang", "piece", "n"],
@@ -263,22 +316,22 @@ def fit_languages(
     """Piece probabilities of every language of ``docs``.
 
     At most about ``fit_docs`` rows of a language are used: rows are taken by the hash of their id, with
-    a fraction set from the language's row count. Rows with a null language are left out; null texts add
+    a fraction set from the language's row count. Words of any length, and of letters that are no piece, take part. Rows with a null language are left out; null texts add
     nothing. The counts that reach the driver are at most one row for each language and piece.
     A table without languages gives a model without any, under which every text is undetermined.
     """
     ship_package(docs.sparkSession)
     pieces = letter_pieces(model_file)
     rows = docs.where(F.col(lang_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)).alias("_u")
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), unit_hash(F.col(id_col)).alias("_u")
     )
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return LanguageModel([], pieces, np.zeros((len(pieces) + 1, 0)))
-    share: Column = F.lit(0)
+    share: Column = F.lit(0.0)
     for lang in langs:
-        share = F.when(F.col("lang") == lang, F.lit(int(1_000_000 * min(1.0, fit_docs / sizes[lang])))).otherwise(share)
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, fit_docs / sizes[lang]))).otherwise(share)
     counted = (
         rows.where(F.col("_u") < share)
         .select("lang", "text")
@@ -315,7 +368,7 @@ def predictor(model: LanguageModel):
         if -1 in rows:
             new = list(dict.fromkeys(w for w, k in zip(flat, rows) if k < 0))
             known.update(zip(new, range(len(known), len(known) + len(new))))
-            logs = np.concatenate([logs, *(word_logs(new[i : i + 20_000], trie, model.logp) for i in range(0, len(new), 20_000))])
+            logs = np.concatenate([logs, *(word_logs(some, trie, model.logp) for some in _parts(new))])
             rows = [get(w) for w in flat]
         total = sums(logs[np.array(rows, np.int64)], counts)
         score = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
@@ -324,12 +377,13 @@ def predictor(model: LanguageModel):
     return predict
 
 
+@lean
 def predict_batches(batches: Iterable[pa.RecordBatch], model: LanguageModel) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, lang_pred, score)."""
     predict = predictor(model)
     names = np.array([*model.langs, UNDETERMINED], dtype=object)
     for whole in batches:
-        for batch in slices(whole, 1):
+        for batch in slices(whole, 1, 1 << 20):
             best, score = predict(filled(batch.column(1)).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names[best], pa.string()), pa.array(score, pa.float64())], names=["id", "lang_pred", "score"]
@@ -350,11 +404,12 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     return rows.mapInArrow(lambda b: predict_batches(b, model), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+@lean
 def accepted_batches(batches: Iterable[pa.RecordBatch], model: LanguageModel, text_at: int, least: float) -> Iterator[pa.RecordBatch]:
     """The rows whose language is determined with at least the given score."""
     scored = predictor(model)
     for whole in batches:
-        for batch in slices(whole, text_at):
+        for batch in slices(whole, text_at, 1 << 20):
             lang, score = scored(filled(batch.column(text_at)).to_pylist())
             yield batch.filter(pa.array((lang < len(model.langs)) & (score >= least)))
 

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
 
@@ -53,3 +55,8 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     np.cumsum(values, axis=0, out=total[1:])
     ends = np.cumsum(counts)
     return total[ends] - total[ends - counts]
+
+
+def unit_hash(column: Column, salt: int = 0) -> Column:
+    """A number from 0 to 1 by the hash of a value, in steps of 2 ** -53: for samples of any fraction."""
+    return F.xxhash64(column, F.lit(salt)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))

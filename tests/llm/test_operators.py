@@ -305,6 +305,68 @@ def test_forward_sums_all_segmentations():
         assert got == pytest.approx(total[-1])
 
 
+def test_languages_of_letters_that_are_no_piece(spark):
+    """No text gives a NaN, and the sums equal those of logarithms."""
+    pieces = language_id.letter_pieces()
+    trie = language_id.PieceTrie(pieces)
+    rng = np.random.default_rng(1)
+    logp = np.concatenate([language_id.base_logs(pieces), language_id.base_logs(pieces, 50.0, 1e-12)], axis=1)
+    odd_letters = [chr(c) for c in range(0x4E00, 0x9FFF) if trie.letter[c] == 0 and chr(c).isalpha()] or ["\u10a0"]
+    words = ["".join(rng.choice(odd_letters) for _ in range(n)) for n in (1, 2, 20, 40, 47, 48, 49, 100, 5000)] + ["the", "qzx" * 16, "ab" * 2500]
+    got = language_id.word_logs(words, trie, logp)
+    assert np.isfinite(got).all() and (got < 0).all()
+    net = language_id.lattice(words, trie)
+    assert got == pytest.approx(language_id.forward(net, logp, True)[net.last] - language_id.LETTER_SCALE * (net.last - net.first)[:, None])
+    counts = language_id.piece_counts(words, np.ones(len(words)), trie, logp[:, :1])
+    spelt = sum(counts[k] * len(p) for k, p in enumerate(pieces)) + counts[-1]
+    assert spelt == pytest.approx(sum(len(w) + 1 for w in words))  # every letter and mark, in words of any length
+    docs = frame(spark, words + ["the of and", "der und die"], langs=["aa"] * 6 + ["bb"] * 8)
+    model = language_id.fit_languages(docs)
+    rows = language_id.predict_languages(docs, model).collect()
+    assert all(0 < r["score"] <= 1 for r in rows) and len(language_id.keep_determined(docs, model).collect()) == len(words) + 2
+
+
+def test_languages_against_a_plain_fit(spark):
+    """Fit and prediction equal a loop over words with a table of prefixes."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice([["the", "of", "house"], ["der", "und", "haus"]][k % 2]) for _ in range(6)) for k in range(30)]
+    docs = frame(spark, texts, langs=["en" if k % 2 == 0 else "de" for k in range(30)])
+    model = language_id.fit_languages(docs)
+    pieces, base = model.pieces, language_id.base_logs(model.pieces)[:, 0]
+    number = {p: k for k, p in enumerate(pieces)}
+
+    def steps(word, logs):
+        marked = language_id.MARK + word
+        for j in range(1, len(marked) + 1):
+            for i in range(j):
+                k = number.get(marked[i:j], len(pieces) if j == i + 1 else None)
+                if k is not None:
+                    yield i, j, k, np.exp(logs[k])
+
+    def sums(word, logs):
+        a, b = np.zeros(len(word) + 2), np.zeros(len(word) + 2)
+        a[0] = b[-1] = 1
+        edges = list(steps(word, logs))
+        for i, j, k, p in sorted(edges, key=lambda e: e[1]):
+            a[j] += a[i] * p
+        for i, j, k, p in sorted(edges, key=lambda e: -e[0]):
+            b[i] += p * b[j]
+        return a, b, edges
+
+    for column, lang in enumerate(model.langs):
+        counts = 200.0 * np.exp(base)
+        for text in texts[::2] if lang == "en" else texts[1::2]:
+            for word in text.split():
+                a, b, edges = sums(word, base)
+                for i, j, k, p in edges:
+                    counts[k] += a[i] * p * b[j] / a[-1] if k < len(pieces) else 0
+        assert model.logp[:, column] == pytest.approx(np.log(counts / counts.sum()), abs=1e-4)
+    for r in language_id.predict_languages(docs, model).collect():
+        logs = [sum(np.log(sums(w, model.logp[:, c])[0][-1]) for w in texts[r["doc_id"]].split()) for c in range(2)]
+        assert r["lang_pred"] == model.langs[int(np.argmax(logs))]
+        assert r["score"] == pytest.approx(1 / np.exp(np.array(logs) - max(logs)).sum())
+
+
 def test_quality_held_out(spark):
     rng = random.Random(3)
     texts, good = [], []
