@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from driftlog.llm.text_buffers import filled, slices
-from driftlog.session import ship_package
+from driftlog.session import lean, ship_package
 
 NO_RANK = np.iinfo(np.int64).max
 CACHED_WORDS = 200_000
@@ -183,11 +183,12 @@ class WordBpe:
         return " ".join(t for t in self.tokens[ids].tolist() if t is not None)
 
 
+@lean
 def encode_batches(batches: Iterable[pa.RecordBatch], definition: str) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, ids)."""
     bpe = WordBpe(definition)
     for whole in batches:
-        for batch in slices(whole, 1):
+        for batch in slices(whole, 1, 1 << 20):
             ids, counts = bpe.encode(filled(batch.column(1)).to_pylist())
             offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
@@ -207,6 +208,7 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
             yield values[bounds[k] : bounds[k + 1]]
 
 
+@lean
 def decode_batches(batches: Iterable[pa.RecordBatch], definition: str) -> Iterator[pa.RecordBatch]:
     """(id, ids) to (id, ids, text)."""
     bpe = WordBpe(definition)
@@ -215,6 +217,7 @@ def decode_batches(batches: Iterable[pa.RecordBatch], definition: str) -> Iterat
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["id", "ids", "text"])
 
 
+@lean
 def digest_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, ids, text) to the id, the number of ids, and the hashes of both."""
     for batch in batches:
@@ -230,6 +233,7 @@ def digest_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
+@lean
 def table_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, ids, text) to the id, the ids, their number, and the hash of the decoded text."""
     for batch in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlog.llm.components import components
-from driftlog.session import ship_package, written
+from driftlog.session import lean, ship_package, written
 
 #: Pivots of a vector's description, and how many of them two candidates share at least.
 NEAREST, SHARED = 10, 2
@@ -29,6 +29,7 @@ APART = 0.8
 TILE = 1000
 
 
+@lean
 def vector_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, label, vector) to (id, label, dim, digest, vector as doubles); null digests mark vectors that can't link."""
     for batch in batches:
@@ -70,6 +71,7 @@ def spread(blobs: list[bytes]) -> list[bytes]:
     return [blobs[k] for k in kept]
 
 
+@lean
 def describe_batches(batches: Iterable[pa.RecordBatch], pivots) -> Iterator[pa.RecordBatch]:
     """(id, label, dim, weight, vector) to the same with the nearest pivots, nearest first."""
     table = {key: unit(blobs) for key, blobs in pivots.value.items()}
@@ -126,6 +128,7 @@ def tile_links(ids: np.ndarray, side: np.ndarray, weight: np.ndarray, near: list
     return ids, links, ids[root]
 
 
+@lean
 def list_batches(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Rows sorted by tile to (id, links, root). A tile is (label, dim, pivot, i, j); its rows have side 0 (part i) or 1 (part j)."""
     key, rows = None, []

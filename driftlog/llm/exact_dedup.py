@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlog.session import written
+from driftlog.session import discard, written
 
 
 def content_hash(text: Column) -> Column:
@@ -28,8 +28,7 @@ def exact_groups(
 
     Null texts count as empty, and all empty texts form one group. ``keep`` says whether the smallest
     or the largest id stays. Rows that repeat both id and text are members of one group: each is
-    returned, each counts in ``group_size``, and ``kept`` is true for one of them only if ids differ
-    (rows of the kept id are all marked kept). A null id never stays unless its whole group has null
+    returned, each counts in ``group_size``, and rows of the kept id are all marked kept. A null id never stays unless its whole group has null
     ids. An empty table gives an empty result; columns beyond id and text are ignored, so their names
     can't clash.
 
@@ -74,14 +73,23 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """``docs`` without the rows whose text another row keeps; columns as they came.
+    """``docs`` with one row of each text, that of the smallest or largest id; columns as they came.
 
-    Only the ids to drop are joined, so texts are not shuffled while those ids are few. Rows that repeat the
-    kept id along with its text stand for one document and stay as they are.
+    Rows go by id and text, so an id with several texts loses only those that another row keeps. Of rows that repeat the
+    kept id along with its text one is left, whichever comes first; null counts as empty. Only ids and hashes to drop are joined,
+    so texts are not shuffled while those are few; texts of repeated rows are.
     """
-    dropped = exact_groups(docs, id_col, text_col, keep).where("NOT kept").select(F.col(id_col).alias("_dropped_id"))
-    dropped = written(dropped.distinct(), "exact-dropped")
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped_id"), "left_anti")
+    rows = written(exact_groups(docs, id_col, text_col, keep).select(F.col(id_col).alias("_id"), "kept", F.unhex("text_sha256").alias("_sha")), "exact-rows")
+    gone = written(rows.where("NOT kept").select("_id", "_sha").distinct(), "exact-dropped")
+    twice = written(rows.where("kept").groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("_id", "_sha"), "exact-twice")
+    discard(rows)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.unhex(F.sha2(text, 256)) == F.col("_sha"))
+    kept = docs.join(gone, same, "left_anti")
+    if twice.isEmpty():
+        return kept
+    again = kept.join(twice, same, "left_semi").withColumn("_text", text).dropDuplicates([id_col, "_text"]).drop("_text")
+    return kept.join(twice, same, "left_anti").unionByName(again)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

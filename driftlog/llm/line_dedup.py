@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from driftlog.llm.shingles import Shingler, _mix
 from driftlog.llm.text_buffers import filled, flat, slices
-from driftlog.session import ship_package, written
+from driftlog.session import lean, ship_package, written
 
 #: Log2 of a sketch's registers; its relative standard error is about 1.04 / sqrt(2 ** LOG_REGISTERS).
 LOG_REGISTERS = 10
@@ -56,11 +56,12 @@ def line_hashes(data: np.ndarray, bounds: np.ndarray, shingler: Shingler) -> tup
     return row, starts, ends, by_start
 
 
+@lean
 def spread_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(site, text) to distinct (line, site) of each part of the input; null sites are the empty name's."""
     shingler = Shingler(1)
     for whole in batches:
-        for batch in slices(whole, 1, 4 << 20):
+        for batch in slices(whole, 1, 1 << 20):
             data, bounds = flat(filled(batch.column(1)))
             row, _, _, line = line_hashes(data, bounds, shingler)
             names, site = np.unique(np.array(filled(batch.column(0)).to_pylist(), dtype=object), return_inverse=True)
@@ -68,23 +69,25 @@ def spread_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(names[pair[:, 1]], pa.string())], names=["line", "site"])
 
 
+@lean
 def clean_batches(batches: Iterable[pa.RecordBatch], lines) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, n_lines, n_removed, text without the given lines)."""
     bad = lines.value
     shingler = Shingler(1)
     for whole in batches:
-        for batch in slices(whole, 1):
+        for batch in slices(whole, 1, 1 << 20):
             data, bounds = flat(filled(batch.column(1)))
             row, starts, ends, line = line_hashes(data, bounds, shingler)
             gone = np.isin(line, bad) & (line != 0) if len(bad) else np.zeros(len(line), bool)
             yield _cleaned(batch.column(0), data, bounds, row, starts, ends, gone)
 
 
+@lean
 def clean_given_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text, array of lines to remove) to the same as ``clean_batches``."""
     shingler = Shingler(1)
     for whole in batches:
-        for batch in slices(whole, 1):
+        for batch in slices(whole, 1, 1 << 20):
             data, bounds = flat(filled(batch.column(1)))
             row, starts, ends, line = line_hashes(data, bounds, shingler)
             gone = np.zeros(len(line), bool)
@@ -161,11 +164,12 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", site_col: str =
     return out.withColumnRenamed("id", id_col)
 
 
+@lean
 def row_line_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, text) to distinct (line, key)."""
     shingler = Shingler(1)
     for whole in batches:
-        for batch in slices(whole, 1):
+        for batch in slices(whole, 1, 1 << 20):
             data, bounds = flat(filled(batch.column(1)))
             row, _, _, line = line_hashes(data, bounds, shingler)
             pair = np.unique(np.c_[line.view(np.int64), row][line != 0], axis=0)

@@ -7,6 +7,7 @@ domain, posterior times tokens times rate, match the targets in the least-square
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -14,16 +15,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from driftlog.llm.quality import QualityModel, _adam
 from driftlog.llm.shingles import Shingler
-from driftlog.llm.text_buffers import filled, flat, slices
+from driftlog.llm.text_buffers import filled, flat, slices, unit_hash
 from driftlog.llm.text_features import NAMES, features
-from driftlog.session import ship_package, written
+from driftlog.session import discard, lean, ship_package, written
 
 DOMAINS = ("good", "junk", "toxic")
 #: Target tokens of a domain as a multiple of the tokens it is expected to hold.
 WEIGHTS = {"good": 1.5, "junk": 0.1, "toxic": 0.1}
+#: Bytes of text that a Python worker handles at a time.
+SLICE = 1 << 20
 
 
 def domain_of() -> Column:
@@ -54,11 +58,12 @@ class DomainModel:
         return e / e.sum(axis=1, keepdims=True)
 
 
+@lean
 def word_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(domain, text) to (word, domain, n): in how many texts of the domain the word occurs."""
     shingler = Shingler(1)
     for whole in batches:
-        for batch in slices(whole, 1, 4 << 20):
+        for batch in slices(whole, 1, SLICE):
             data, bounds = flat(filled(batch.column(1)))
             words, counts = shingler.word_hashes(data, bounds)
             owner = np.repeat(np.arange(len(counts)), counts)
@@ -76,20 +81,23 @@ def word_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@lean
 def input_batches(batches: Iterable[pa.RecordBatch], model: DomainModel) -> Iterator[pa.RecordBatch]:
     """(domain, text) to (domain, inputs)."""
     shingler = Shingler(1)
     for whole in batches:
-        for batch in slices(whole, 1):
+        for batch in slices(whole, 1, SLICE):
             x, _ = model.inputs(*flat(filled(batch.column(1))), shingler)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel().astype(np.float32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["domain", "x"])
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 8_000, most_words: int = 150) -> DomainModel:
+def fit_domains(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domains: int = len(DOMAINS), most_rows: int = 8_000, most_words: int = 150
+) -> DomainModel:
     """Learns posteriors from labelled documents, at most about ``most_rows`` of them (by the hash of the id).
 
-    ``labels`` has the id and a column ``domain`` with the number of a domain; null domains are left out. The words
+    ``labels`` has the id and a column ``domain`` with the number of a domain, below ``domains``; null domains are left out. The words
     that tell a domain from the rest best, ``most_words`` of each, are chosen by counts over the same rows.
     """
     ship_package(docs.sparkSession)
@@ -97,7 +105,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     labelled = labelled.groupBy("id").agg(F.min("domain").alias("domain"))
     n = labelled.count()
     if n > most_rows:
-        labelled = labelled.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * most_rows / n))
+        labelled = labelled.where(unit_hash(F.col("id"), 5) < most_rows / n)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     sample = written(rows.join(F.broadcast(labelled), "id").select("domain", "text"), "mixing-labelled")
 
@@ -105,7 +113,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     blank = QualityModel(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 0.5)
     sizes = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:  # nothing to tell apart: the posterior is the only domain's, or even
-        weights = np.zeros((width + 1, len(DOMAINS)))
+        weights = np.zeros((width + 1, domains))
         for d in sizes:
             weights[-1, d] = 30
         return DomainModel(blank, np.zeros(0, np.uint64), weights)
@@ -116,8 +124,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     blank = QualityModel(dense.mean(axis=0), np.maximum(dense.std(axis=0), 1e-3), np.zeros(width), 0.0, 0.5)
     model = DomainModel(blank, words, np.zeros(0))
     x, y = _collected(sample, model)
-    target = np.eye(len(DOMAINS))[y]
-    theta = np.zeros((x.shape[1], len(DOMAINS)))
+    target = np.eye(domains)[y]
+    theta = np.zeros((x.shape[1], domains))
 
     def gradient(flat_theta):
         z = x @ flat_theta.reshape(theta.shape)
@@ -126,6 +134,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         return (x.T @ (p - target) / len(x) + 1e-4 * flat_theta.reshape(theta.shape)).ravel()
 
     model.weights = _adam(theta.ravel(), gradient, 300, 0.05).reshape(theta.shape)
+    discard(sample)
     return model
 
 
@@ -148,103 +157,171 @@ def _collected(sample: DataFrame, model: DomainModel) -> tuple[np.ndarray, np.nd
     return x.astype(np.float64), got["domain"].to_numpy().astype(np.int64)
 
 
+@lean
 def member_batches(batches: Iterable[pa.RecordBatch], model: DomainModel) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, n_tokens, posterior)."""
     shingler = Shingler(1)
     for whole in batches:
-        for batch in slices(whole, 1):
+        for batch in slices(whole, 1, SLICE):
             x, counts = model.inputs(*flat(filled(batch.column(1))), shingler)
             p = model.posteriors(x)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.astype(np.int64)), lists], names=["id", "n_tokens", "posterior"])
 
 
-def rates_of(posterior: np.ndarray, history: np.ndarray, step: float, pull: float) -> np.ndarray:
+def rates_of(posterior: np.ndarray, history: np.ndarray) -> np.ndarray:
     """The rates after the given steps: each is projected gradient descent from rate 1, and depends on the
-    other documents only through the domains' residuals, a few numbers a step."""
+    other documents only through a direction over the domains, a few numbers a step."""
     rate = np.ones(len(posterior))
-    for residual in history:
-        rate = np.maximum(0.0, rate - step * (posterior @ residual + pull * (rate - 1.0)))
+    for direction in history:
+        rate = np.maximum(0.0, rate - posterior @ direction)
     return rate
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, len(DOMAINS)))
+def _matrix(column: pa.Array, domains: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), domains) if len(column) else np.zeros((0, domains))
 
 
-def total_batches(batches: Iterable[pa.RecordBatch], history: np.ndarray, step: float, pull: float) -> Iterator[pa.RecordBatch]:
-    """(id, n_tokens, posterior) to (domain, tokens): what the rates give each domain."""
-    total = np.zeros(len(DOMAINS))
+def sum_batches(batches: Iterable[pa.RecordBatch], history: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(id, n_tokens, posterior) to (at, value): what the rates give each domain, then how the posteriors of documents
+    that a step can move overlap, weighted by tokens."""
+    domains = history.shape[1]
+    total, overlap = np.zeros(domains), np.zeros((domains, domains))
     for batch in batches:
-        p = _matrix(batch.column(2))
-        total += (batch.column(1).to_numpy() * rates_of(p, history, step, pull)) @ p
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(DOMAINS), dtype=np.int32)), pa.array(total)], names=["domain", "tokens"])
+        p = _matrix(batch.column(2), domains)
+        rate, tokens = rates_of(p, history), batch.column(1).to_numpy().astype(float)
+        total += (tokens * rate) @ p
+        moved = p[rate > 0] * tokens[rate > 0][:, None]
+        overlap += moved.T @ p[rate > 0]
+    values = np.r_[total, overlap.ravel()]
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["at", "value"])
 
 
-def rate_batches(batches: Iterable[pa.RecordBatch], history: np.ndarray, step: float, pull: float) -> Iterator[pa.RecordBatch]:
+def rate_batches(batches: Iterable[pa.RecordBatch], history: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(id, n_tokens, posterior) with the rate."""
     for batch in batches:
-        rate = rates_of(_matrix(batch.column(2)), history, step, pull)
+        rate = rates_of(_matrix(batch.column(2), history.shape[1]), history)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=["id", "n_tokens", "posterior", "rate"])
 
 
+@dataclass
+class Fit:
+    """The steps of the descent; tokens that the domains held, should have, and have; the largest miss against the targets."""
+
+    history: np.ndarray
+    held: np.ndarray
+    target: np.ndarray
+    reached: np.ndarray
+    gap: float
+
+
 def fit_rates(
-    members: DataFrame, weights: dict[str, float] | None = None, most_steps: int = 40, tolerance: float = 1e-3, pull: float = 1e-4
-) -> DataFrame:
-    """``members`` (id, n_tokens, posterior) with nonnegative rates.
-
-    Each domain's target is its weight times the tokens it is expected to hold. Descent stops when every
-    domain is within ``tolerance`` of its target, or after ``most_steps``. A step is one pass over the small table and brings
-    one row a task of sums together; nothing is kept between steps but the residuals, so a lost executor costs its
-    running tasks. Without tokens all rates are 1.
+    members: DataFrame, names: tuple[str, ...] = DOMAINS, weights: dict[str, float] | None = None, shares: dict[str, float] | None = None, most_steps: int = 40, tolerance: float = 1e-3
+) -> Fit:
+    """Nonnegative rates of ``members`` (id, n_tokens, posterior) by projected gradient descent.
+
+    A domain's target is its weight times the tokens it is expected to hold; or, if ``shares`` are given, its share of
+    all tokens. The gradient is scaled by the inverse of the domains' overlap, so that a step that no rate's bound
+    stops would meet all targets at once. Descent stops when every domain is within ``tolerance`` of its target, when ten steps
+    bring it no nearer, or after ``most_steps``; a gap that is left is told by a warning and in the result: targets may be out of
+    reach for nonnegative rates. A step is one pass over the small table and brings one row a task of sums together; nothing is kept
+    between steps but the directions, so a lost executor costs its running tasks. Without tokens all rates are 1.
     """
-    weights = weights or WEIGHTS
-    step = 1.0 / (1.0 + pull)
+    domains = len(names)
 
-    def totals(history: np.ndarray) -> np.ndarray:
-        got = members.mapInArrow(lambda b: total_batches(b, history, step, pull), "domain int, tokens double").groupBy("domain").agg(F.sum("tokens").alias("t")).collect()
-        out = np.zeros(len(DOMAINS))
+    def sums(history: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        got = members.mapInArrow(lambda b: sum_batches(b, history), "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+        values = np.zeros(domains + domains**2)
         for r in got:
-            out[r["domain"]] = r["t"]
-        return out
-
-    history = np.zeros((0, len(DOMAINS)))
-    held = totals(history)
-    if held.sum() > 0:
-        target = held * np.array([weights[d] for d in DOMAINS])
-        scale = np.maximum(held, 1e-9 * held.sum())
-        now = held
-        while len(history) < most_steps and (np.abs(now - target) > tolerance * np.maximum(target, tolerance * held.sum())).any():
-            history = np.vstack([history, (now - target) / scale])
-            now = totals(history)
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema)
-    return members.mapInArrow(lambda b: rate_batches(b, history, step, pull), f"{shape}, rate double")
-
-
-def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_tokens, p_good, p_junk, p_toxic, rate, copies`` of every row of ``docs``.
-
-    ``labels`` has the id, quality and toxic. Null and empty texts have no tokens and take part with their
-    posterior alone; repeated rows each take part; null ids get copies as if of id 0; an empty table gives an
-    empty result; other columns are ignored. ``copies`` is the rate rounded up or down by the hash of the id, so that
-    its expectation is the rate. Ties can't arise: equal texts have equal rates.
-    """
+            values[r["at"]] = r["value"]
+        return values[:domains], values[domains:].reshape(domains, domains)
+
+    history = np.zeros((0, domains))
+    held, overlap = sums(history)
+    total = held.sum()
+    if shares is not None:
+        target = total * np.array([shares.get(d, 0.0) for d in names]) / max(sum(shares.values()), 1e-300)
+    else:
+        target = held * np.array([(weights or WEIGHTS).get(d, 1.0) for d in names])
+    if total <= 0:
+        return Fit(history, held, target, held, 0.0)
+    miss = lambda now: float((np.abs(now - target) / np.maximum(target, tolerance * total)).max())
+    now, step, best, since, found = held, 1.0, miss(held), 0, history
+    reached = held
+    while best > tolerance and len(history) < most_steps and since < 10:
+        damped = overlap + 1e-9 * total * np.eye(domains)
+        history = np.vstack([history, step * np.linalg.solve(damped, now - target)])
+        now, overlap = sums(history)
+        if miss(now) < best:
+            since = 0 if miss(now) < 0.9 * best else since + 1
+            best, found, reached = miss(now), history, now
+        else:
+            step, since = max(step / 2, 1 / 64), since + 1
+    if best > tolerance:
+        warnings.warn(f"targets are missed by up to {best:.3g} of their size: " + ", ".join(f"{d} {g:.4g} of {t:.4g}" for d, g, t in zip(names, reached, target)), stacklevel=2)
+    return Fit(found, held, target, reached, best)
+
+
+def _fitted(docs, labels, weights, shares, domains, label, id_col, text_col) -> tuple[DomainModel, DataFrame, Fit]:
     ship_package(docs.sparkSession)
-    model = fit_domains(docs, labels.withColumn("domain", domain_of()), id_col, text_col)
+    model = fit_domains(docs, labels.withColumn("domain", domain_of() if label is None else label), id_col, text_col, len(domains))
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     members = written(rows.mapInArrow(lambda b: member_batches(b, model), "id long, n_tokens long, posterior array<double>"), "mixing-members")
-    part = F.pmod(F.xxhash64(F.coalesce("id", F.lit(0)), F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return fit_rates(members, weights).select(
-        F.col("id").alias(id_col), "n_tokens", *(F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)),
-        "rate", F.floor(F.col("rate") + part).cast("int").alias("copies"),
+    return model, members, fit_rates(members, domains, weights, shares)
+
+
+def _part(ids: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(ids.cast("long"), F.lit(0)), F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+
+
+def mixture(
+    docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", shares: dict[str, float] | None = None,
+    domains: tuple[str, ...] = DOMAINS, label: Column | None = None,
+) -> DataFrame:
+    """``id, n_tokens, p_<domain>..., rate, copies, gap`` of every row of ``docs``.
+
+    ``label`` gives the number of a domain for a row of ``labels``; by default it comes from quality and toxic. ``weights`` or ``shares``
+    set the targets, see ``fit_rates``; ``gap`` is the largest miss against them, the same in every row. Null and empty texts have no tokens
+    and take part with their posterior alone; repeated rows each take part; null ids get copies as if of id 0; an empty
+    table gives an empty result; other columns are ignored. ``copies`` is the rate rounded up or down by the hash of the id, so that
+    its expectation is the rate. Ties can't arise: equal texts have equal rates.
+    """
+    _, members, fit = _fitted(docs, labels, weights, shares, domains, label, id_col, text_col)
+    rated = members.mapInArrow(lambda b: rate_batches(b, fit.history), "id long, n_tokens long, posterior array<double>, rate double")
+    return rated.select(
+        F.col("id").alias(id_col), "n_tokens", *(F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(domains)),
+        "rate", F.floor(F.col("rate") + _part(F.col("id"))).cast("int").alias("copies"), F.lit(fit.gap).alias("gap"),
     )
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with each row as often as its rate says; columns as they came. Ids are taken to be unique; rows of a repeated id share the largest number of copies."""
-    copies = mixture(docs, labels, weights, id_col).where("copies > 0").groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(copies, F.col(id_col).cast("long").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+@lean
+def mixed_batches(batches: Iterable[pa.RecordBatch], model: DomainModel, history: np.ndarray, text_at: int) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column is the part that rounds up, to each row as often as its rate says, without that column."""
+    shingler = Shingler(1)
+    for whole in batches:
+        for batch in slices(whole, text_at, SLICE):
+            x, _ = model.inputs(*flat(filled(batch.column(text_at))), shingler)
+            copies = np.floor(rates_of(model.posteriors(x), history) + batch.column(batch.num_columns - 1).to_numpy()).astype(np.int64)
+            kept = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
+            yield kept.take(pa.array(np.repeat(np.arange(len(copies)), copies)))
+
+
+def mix(
+    docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", shares: dict[str, float] | None = None,
+    domains: tuple[str, ...] = DOMAINS, label: Column | None = None,
+) -> DataFrame:
+    """``docs`` with each row as often as its rate says; columns as they came.
+
+    Texts are read once to fit and once to be copied where they lie: nothing but sums is shuffled, and rows need no
+    key, so rows of a repeated or null id each go by their own text.
+    """
+    model, members, fit = _fitted(docs, labels, weights, shares, domains, label, id_col, text_col)
+    discard(members)
+    at, last = docs.columns.index(text_col), "_part"
+    while last in docs.columns:
+        last += "_"
+    shape = StructType(docs.schema.fields)
+    return docs.select("*", _part(docs[id_col]).alias(last)).mapInArrow(lambda b: mixed_batches(b, model, fit.history, at), shape)
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 
 from driftlog.llm.shingles import Shingler
 from driftlog.llm.text_buffers import filled, flat, per_row_counts, slices
+from driftlog.session import lean
 
 NAMES = (
     "log_words", "word_length", "upper", "digit", "space", "wide", "stop", "comma", "bang", "question", "pipe", "symbol",
@@ -90,11 +91,12 @@ def feature_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Reco
     """Each part of the (id, text, ...) batches with the features of its rows."""
     shingler = Shingler(1)
     for whole in batches:
-        for batch in slices(whole, 1):
+        for batch in slices(whole, 1, 1 << 20):
             data, bounds = flat(filled(batch.column(1)))
             yield batch, features(data, bounds, shingler)
 
 
+@lean
 def collected_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, features)."""
     for batch, x in feature_batches(batches):
