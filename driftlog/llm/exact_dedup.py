@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from driftlog.session import discard, written
 
+#: Keys to drop up to so many (some 60 bytes each) are broadcast, more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+
 
 def content_hash(text: Column) -> Column:
     """128 bits of the text's UTF-8 bytes."""
@@ -80,14 +83,16 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     so texts are not shuffled while those are few; texts of repeated rows are.
     """
     rows = written(exact_groups(docs, id_col, text_col, keep).select(F.col(id_col).alias("_id"), "kept", F.unhex("text_sha256").alias("_sha")), "exact-rows")
+    few = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
     gone = written(rows.where("NOT kept").select("_id", "_sha").distinct(), "exact-dropped")
     twice = written(rows.where("kept").groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("_id", "_sha"), "exact-twice")
     discard(rows)
     text = F.coalesce(F.col(text_col), F.lit(""))
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.unhex(F.sha2(text, 256)) == F.col("_sha"))
-    kept = docs.join(gone, same, "left_anti")
+    kept = docs.join(few(gone), same, "left_anti")
     if twice.isEmpty():
         return kept
+    twice = few(twice)
     again = kept.join(twice, same, "left_semi").withColumn("_text", text).dropDuplicates([id_col, "_text"]).drop("_text")
     return kept.join(twice, same, "left_anti").unionByName(again)
 
