@@ -652,6 +652,46 @@ def test_near_vectors_against_all_pairs(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def linked(vectors, labels, threshold=0.98):
+    unit = np.stack(vectors).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = (unit @ unit.T >= threshold) & (np.array(labels)[:, None] == np.array(labels)[None, :])
+    np.fill_diagonal(links, False)
+    return links
+
+
+def test_recall_of_long_lists(spark, monkeypatch):
+    """Many more vectors than few pivots can tell apart: lists are split and cut, and links just above the threshold are found."""
+    monkeypatch.setattr(embedding_dedup, "TILE", 30)
+    monkeypatch.setattr(embedding_dedup, "MOST_PIVOTS", 60)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(1500, 48)) + 1.5 * rng.normal(size=(6, 48))[rng.integers(6, size=1500)]
+    vectors = list(base)
+    for k in range(1500):  # a partner at a cosine from 0.98 to 0.995
+        q = base[k] / np.linalg.norm(base[k])
+        n = rng.normal(size=48)
+        n -= (n @ q) * q
+        c = rng.uniform(0.9801, 0.995)
+        vectors.append(c * q + np.sqrt(1 - c * c) * n / np.linalg.norm(n))
+    labels = [k % 2 for k in range(1500)] * 2
+    rows = [(k, v.tolist(), label, 0, 0) for k, (v, label) in enumerate(zip(vectors, labels))]
+    links = linked([np.array(v, np.float32) for v in vectors], labels)
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, VECTORS)).collect()}
+    found = np.array([got[k] for k in range(len(rows))])
+    assert links.sum() >= 3000 and (found <= links.sum(axis=1)).all()
+    assert found.sum() >= 0.97 * links.sum(), found.sum() / links.sum()
+
+
+def test_vectors_under_one_id(spark):
+    rng = np.random.default_rng(2)
+    a, b, c = (rng.normal(size=8) for _ in range(3))
+    near = lambda v: v + rng.normal(scale=0.01, size=8)
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (3, c), (4, near(c)), (5, c), (5, c)]
+    table = spark.createDataFrame([(k, v.tolist(), 1, 0, 0) for k, v in rows], VECTORS)
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(table).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (3, 3, 3), (4, 3, 3), (5, 3, 3), (5, 3, 3)]
+
+
 def test_tiled_lists_count_the_same(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(k, (np.ones(16) + rng.normal(scale=0.05, size=16)).tolist(), 1, 0, 0) for k in range(150)]
