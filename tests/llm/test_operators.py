@@ -453,6 +453,38 @@ def test_mixture_meets_its_targets(spark):
     assert np.mean([np.argmax([r["p_good"], r["p_junk"], r["p_toxic"]]) == truth[r["doc_id"]] for r in rows if r["doc_id"] % 2]) > 0.95
 
 
+def test_rates_against_plain_projected_gradient(spark):
+    """The distributed fit against gradient descent by small steps over all documents at once."""
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.3, 0.3, 0.3], size=300)
+    tokens = rng.integers(0, 200, 300)
+    members = spark.createDataFrame([(k, int(t), x.tolist()) for k, (t, x) in enumerate(zip(tokens, p))], "id long, n_tokens long, posterior array<double>").repartition(4)
+    for weights in ({"good": 1.5, "junk": 0.1, "toxic": 0.1}, {"good": 0.5, "junk": 2.0, "toxic": 1.0}):
+        fit = mixing.fit_rates(members, weights=weights, tolerance=1e-6)
+        rate = mixing.rates_of(p, fit.history)
+        target = (tokens @ p) * np.array([weights[d] for d in mixing.DOMAINS])
+        plain = np.ones(300)
+        for _ in range(20_000):
+            plain = np.maximum(0, plain - 0.5 / tokens.sum() * (p @ ((tokens * plain) @ p - target)))
+        assert (rate >= 0).all() and fit.gap <= 1e-6
+        reached = lambda r: (tokens * r) @ p
+        assert reached(rate) == pytest.approx(target, rel=1e-5) and reached(plain) == pytest.approx(target, rel=1e-3)
+        assert np.corrcoef(rate, plain)[0, 1] > 0.99
+    with pytest.warns(UserWarning, match="targets are missed"):  # one document can't serve two masters
+        alone = spark.createDataFrame([(1, 100, [0.5, 0.5, 0.0])], "id long, n_tokens long, posterior array<double>")
+        assert mixing.fit_rates(alone, weights={"good": 2.0, "junk": 0.0, "toxic": 1.0}).gap > 0.1
+    parts = mixing.fit_rates(members, shares={"good": 0.5, "junk": 0.25, "toxic": 0.25})
+    assert parts.reached / parts.reached.sum() == pytest.approx([0.5, 0.25, 0.25], abs=1e-3)
+
+
+def test_copies_follow_the_rates_where_rows_lie(spark):
+    docs = frame(spark, [prose(random.Random(k), 30) for k in range(60)] + [None, ""], ids=[*range(50), *range(10), None, 61])
+    labels = docs.where("doc_id IS NOT NULL").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic")).distinct()
+    rated = mixing.mixture(docs, labels)
+    mixed = mixing.mix(docs, labels)
+    assert mixed.columns == docs.columns and mixed.count() == rated.agg(F.sum("copies")).first()[0]
+
+
 def test_secrets(spark):
     key, hex40 = "AKIA" + "ND7DEZ4CD4HKM4XY", "12f5388ee56fe6a3f6d537f97336225b8df1323b"
     texts = [
