@@ -34,6 +34,8 @@ class Resolver:
                 return Field(F.col(name), "boolean")
             if isinstance(kind, T.NumericType):
                 return Field(F.col(name), "number")
+            if isinstance(kind, T.VariantType):
+                return Field(F.col(name), "variant")
             return Field(F.col(name), "string" if isinstance(kind, T.StringType) else "other")
         if self.open_map:
             return Field(F.variant_get(F.col(self.open_map), f"$.{name}", "variant"), "variant")

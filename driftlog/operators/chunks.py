@@ -30,12 +30,14 @@ def assign_by_count(logs: DataFrame, size: int, pos: str = "pos") -> DataFrame:
     return logs.withColumn("seq", F.expr(f"CAST({pos} DIV {size} AS INT)"))
 
 
-def seal_greedily(logs: DataFrame, lane: str, config: Config, size: str = "bytes") -> DataFrame:
+def seal_greedily(logs: DataFrame, lane: str, config: Config, size: str = "bytes", start: dict | None = None) -> DataFrame:
     """Sealing by count, bytes or age, whichever comes first, in order of pos within each lane.
 
     The rule is sequential: a row that fills the open chunk is its last. Lanes are independent, so a table is
-    dealt over as many lanes as it should have writers. A lane is streamed in sorted order, not collected.
+    dealt over as many lanes as it should have writers. A lane is streamed in sorted order, not collected. ``start`` has, for lanes with an
+    open chunk, its number, rows, bytes and first ts; those lanes go on with it.
     """
+    start = start or {}
     ship_package(logs.sparkSession)
     shape = f"{logs.schema[lane].name} {logs.schema[lane].dataType.simpleString()}, pos long, lane_seq int"
 
@@ -45,7 +47,8 @@ def seal_greedily(logs: DataFrame, lane: str, config: Config, size: str = "bytes
             out = []
             for name, ts, weight in zip(batch[lane], batch["ts"], batch[size]):
                 if name != now:
-                    now, seq, count = name, 0, 0
+                    now = name
+                    seq, count, total, first = start.get(name, (0, 0, 0, 0.0))
                 if count == 0:
                     total, first = 0, ts
                 count, total = count + 1, total + weight

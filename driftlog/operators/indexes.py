@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlog.config import Config
+from driftlog.functions.compile import Resolver, as_number, as_string, compile_leaf, present
 from driftlog.plans import ir
 from driftlog.session import ship_package
 
@@ -52,20 +53,22 @@ class HashIndex(Index):
     kind, ops, precise = "hash", (ir.EQ, ir.IN), True
 
     def build(self, logs: DataFrame) -> DataFrame:
-        return logs.where(F.col(self.field).isNotNull()).select("seq", F.col(self.field).alias("value"), "pos")
+        field = Resolver(logs)(self.field)
+        value = F.lit(None).cast("string") if field.column is None else field.column
+        return logs.where(present(field)).select("seq", value.alias("value"), "pos")
 
     @staticmethod
     def posting_lists(sidecar: DataFrame) -> DataFrame:
         return sidecar.groupBy("seq", "value").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
     def lookup(self, sidecar: DataFrame, logs: DataFrame, predicate: ir.Predicate) -> DataFrame:
-        values = list(predicate.value) if predicate.op == ir.IN else [predicate.value]
-        found = sidecar.where(F.col("value").isin(values)).select("seq", "pos").distinct()
-        return logs.join(found, ["seq", "pos"], "left_semi")
+        # The predicate itself over the stored value, so a literal of another type matches what it would match without an index.
+        same = compile_leaf(ir.Predicate("value", predicate.op, predicate.value), Resolver(sidecar, open_map=""))
+        return logs.join(sidecar.where(same).select("seq", "pos").distinct(), ["seq", "pos"], "left_semi")
 
     def memory_bytes(self, sidecar: DataFrame) -> DataFrame:
-        keyed = sidecar.groupBy("seq", "value").agg(F.count(F.lit(1)).alias("n"))
-        return keyed.groupBy("seq").agg(F.sum(F.octet_length(F.col("value").cast("string")) + 8 * F.col("n")).cast("long").alias("bytes"))
+        keyed = sidecar.groupBy("seq", F.col("value").cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        return keyed.groupBy("seq").agg(F.sum(F.octet_length("value") + 8 * F.col("n")).cast("long").alias("bytes"))
 
 
 class SkipIndex(Index):
@@ -81,8 +84,10 @@ class SkipIndex(Index):
         return F.floor(F.col("pos") / self.block)
 
     def build(self, logs: DataFrame) -> DataFrame:
+        side = as_number(Resolver(logs)(self.field))
+        side = F.col(self.field) if side is None else side
         return logs.groupBy("seq", self._block().alias("block")).agg(
-            F.min(self.field).alias("low"), F.max(self.field).alias("high"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")
+            F.min(side).alias("low"), F.max(side).alias("high"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")
         )
 
     def lookup(self, sidecar: DataFrame, logs: DataFrame, predicate: ir.Predicate) -> DataFrame:
@@ -100,10 +105,11 @@ class SkipIndex(Index):
 
 
 def canonical(value) -> str:
-    """One spelling for equal values: whole numbers have no fraction."""
-    if isinstance(value, bool) or not isinstance(value, int | float):
+    """One spelling for values that predicates take as equal: numbers as doubles, whole ones without a fraction; truth values are 1 and 0."""
+    if not isinstance(value, int | float):
         return str(value)
-    return str(int(value)) if float(value).is_integer() else repr(float(value))
+    number = float(value)
+    return str(int(number)) if number.is_integer() else repr(number)
 
 
 def bloom_shape(n: int, rate: float) -> tuple[int, int]:
@@ -131,13 +137,16 @@ class BloomIndex(Index):
         rate = self.rate
         ship_package(logs.sparkSession)
         # Distinct values first: a chunk's group is bounded by the chunk, and hot values are one row.
-        values = logs.where(F.col(self.field).isNotNull()).select("seq", F.col(self.field).alias("value")).distinct()
+        field = Resolver(logs)(self.field)
+        side = lambda column, kind: F.lit(None).cast(kind) if column is None else column.cast(kind)
+        values = logs.where(present(field)).select("seq", side(as_string(field), "string").alias("text"), side(as_number(field), "double").alias("number")).distinct()
 
         def fold(group: pd.DataFrame) -> pd.DataFrame:
             bits, hashes = bloom_shape(len(group), rate)
             field = np.zeros(bits, bool)
-            for value in group["value"].tolist():
-                field[bloom_places(canonical(value), bits, hashes)] = True
+            for text, number in zip(group["text"], group["number"]):
+                if text is not None or number == number:
+                    field[bloom_places(canonical(text if text is not None else number), bits, hashes)] = True
             return pd.DataFrame({"seq": [group["seq"].iloc[0]], "bits": [bits], "hashes": [hashes], "field": [np.packbits(field).tobytes()]})
 
         return values.groupBy("seq").applyInPandas(fold, "seq int, bits long, hashes int, field binary")
@@ -180,6 +189,8 @@ def choose_kind(field: str, op: str) -> str | None:
 
 
 def pick(indexes: list[Index], predicate: ir.Predicate) -> Index | None:
-    """A precise index on the field before one that isn't."""
+    """A precise index on the field before one that isn't. None holds rows without the field."""
+    if predicate.op == ir.EQ and predicate.value is None or predicate.op == ir.IN and None in predicate.value:
+        return None
     fitting = [i for i in indexes if i.field == predicate.field and predicate.op in i.ops]
     return min(fitting, key=lambda i: not i.precise, default=None)

@@ -150,7 +150,7 @@ def misra_gries_merge(a: Counter, b: Counter, k: int) -> Counter:
 def misra_gries(rows: DataFrame, key: str, k: int = Config.topk_k) -> DataFrame:
     """``key, n``: at most k heavy hitters; n is at most (rows / (k + 1)) below the true count, never above.
 
-    Each task keeps k counters, and what reaches the last task is k counters from each.
+    Each task keeps k counters, and what is sent to the last task is k counters from each.
     """
 
     ship_package(rows.sparkSession)
@@ -168,7 +168,7 @@ def misra_gries(rows: DataFrame, key: str, k: int = Config.topk_k) -> DataFrame:
         yield pd.DataFrame({"key": list(held), "n": list(held.values())})
 
     parts = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key")).mapInPandas(summarise, "key string, n long")
-    return parts.coalesce(1).mapInPandas(reduce_, "key string, n long").withColumnRenamed("key", key)
+    return parts.repartition(1).mapInPandas(reduce_, "key string, n long").withColumnRenamed("key", key)
 
 
 def _merge_rows(held: Counter, batch: pd.DataFrame, k: int) -> Counter:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlog.config import Config
@@ -61,7 +61,10 @@ def plan(snap: Snapshot, config: Config = Config()) -> DataFrame:
         parts.append(rows(soft.select("seq").unionByName(D.over_cap(snap.chunks, soft, config).select("seq")), "demote", "demote", "seq"))
     if config.dynamic_indexing:
         parts.append(rows(D.should_drop(snap.indexes, snap.now, snap.pressure, config), "drop", "drop", "index_id"))
-    return reduce(DataFrame.unionByName, parts)
+    # What several rules ask for is one action, by the rule that runs first.
+    asked = reduce(DataFrame.unionByName, parts)
+    first = Window.partitionBy("action", "target").orderBy("priority", "plan_seq")
+    return asked.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
 
 
 def tick(snap: Snapshot, config: Config = Config()) -> DataFrame:
@@ -69,6 +72,12 @@ def tick(snap: Snapshot, config: Config = Config()) -> DataFrame:
     return D.budget(plan(snap, config), config)
 
 
+def drop_reasons(indexes: DataFrame, now: float, config: Config = Config()) -> DataFrame:
+    """``index_id, reason``: how long an index idled and what it paid."""
+    idle = F.when(F.col("last_used").isNull(), "inf").otherwise(F.format_string("%.0f", F.lit(now) - F.col("last_used")))
+    return indexes.select("index_id", F.format_string("idle=%ss, roi=%.3f", idle, D.roi(config=config)).alias("reason"))
+
+
 def events_of(actions: DataFrame, now: float) -> DataFrame:
     """``ts, type, action, target, field, op, kind, tier_from, tier_to``: what the actions publish."""
     move = F.col("action").isin("demote", "promote")

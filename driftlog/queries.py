@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftlog.config import Config
+from driftlog.engine import Engine
 from driftlog.operators import chunks, decisions, indexes, metrics, search, tick, views
 from driftlog.plans import ir
 from driftlog.session import scratch_dir
@@ -120,10 +122,12 @@ def filter_variant(spark, sf_dir):
     return search.find("k = 7", logs, now=NOW).select("pos", "service")
 
 
-@query("ingest_validation", "SELECT level, count(*) AS n, count(*) FILTER (ts <= 1706745600 AND length(msg) <= 5) AS n_short FROM lg GROUP BY level")
+@query("ingest_validation", "SELECT level, count(*) FILTER (ts <= 1705000000 + 86400) AS n_accepted, count(*) FILTER (ts > 1705000000 + 86400) AS n_rejected FROM lg GROUP BY level")
 def ingest_validation(spark, sf_dir):
-    good, bad = split_valid(_logs(spark, sf_dir), NOW)
-    return good.unionByName(bad).groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("msg") <= 5).alias("n_short"))
+    """Taken in some days before the last events, whose time is then too far ahead."""
+    good, bad = split_valid(_logs(spark, sf_dir), 1705000000.0)
+    both = good.select("level", F.lit(True).alias("good")).unionByName(bad.select("level", F.lit(False).alias("good")))
+    return both.groupBy("level").agg(F.count_if("good").alias("n_accepted"), F.count_if(~F.col("good")).alias("n_rejected"))
 
 
 # Chunks
@@ -145,11 +149,10 @@ def schema_sketch(spark, sf_dir):
 
 @query("sketch_prune", "SELECT seq, count(*) AS n FROM lg WHERE seq % 2 = 0 AND k >= 50 GROUP BY seq")
 def sketch_prune(spark, sf_dir):
-    """Sketches of even chunks only: odd ones can't hold the field and are pruned."""
-    logs = _logs(spark, sf_dir)
-    sketches = chunks.sketch(logs.where("seq % 2 = 0"), F.parse_json("props"))
+    """Only even chunks hold the field in their open map: the others are pruned by their sketch."""
+    logs = _logs(spark, sf_dir).drop("k").withColumn("fields", F.parse_json(F.when(F.col("seq") % 2 == 0, F.col("props")).otherwise("{}")))
     expr = ir.Predicate("k", ir.RANGE, ir.Interval(low=50.0))
-    kept = search.prune_by_sketch(logs, sketches, expr)
+    kept = search.prune_by_sketch(logs, chunks.sketch(logs, F.col("fields")), expr)
     return search.run(ir.Query(expr), kept).groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -499,23 +502,28 @@ def hot_cap(spark, sf_dir):
     return decisions.over_cap(_chunk_m(spark, sf_dir), config=replace(Config(), max_hot_chunks=4)).select("seq")
 
 
-_PLAN = f""", plan AS (
+_PLAN = f"""{_DROPPED}, plan AS (
       SELECT 'build' AS action, seq::VARCHAR || ':hash:level' AS target, 30 AS priority, 2 AS plan_seq
       FROM (SELECT DISTINCT seq FROM chunk_m, pred_m WHERE temp >= 0.3 AND tier = 'hot' AND freq >= 5)
-      WHERE seq NOT IN (SELECT seq FROM idx_m)
+      WHERE seq NOT IN (SELECT seq FROM idx_m) AND seq NOT IN (SELECT seq FROM dropped_m)
+      UNION ALL SELECT 'restore', index_id, 30, 1 FROM dropped_m, (SELECT sum(freq) AS freq, max(last_seen) AS last_seen FROM pred_m)
+      WHERE 1706745600 - dropped_at <= 864000 AND last_seen > dropped_at AND freq >= 5
       UNION ALL SELECT 'promote', seq::VARCHAR, 25, 3 FROM chunk_m WHERE tier = 'cold' AND temp > 0.5
       UNION ALL SELECT 'demote', seq::VARCHAR, 20, 4 FROM chunk_m WHERE {_DEMOTE}
       UNION ALL SELECT 'drop', index_id, 50, 5 FROM idx_roi WHERE (idle > 600 AND roi < 0.1)
     )"""
 
 
+_TICK = Config(max_hot_chunks=0, cooldown_sec=864000.0)
+
+
 def _snapshot(spark, sf_dir) -> tick.Snapshot:
-    return tick.Snapshot(NOW, _chunk_m(spark, sf_dir), _pred_m(spark, sf_dir), _idx_m(spark, sf_dir), _dropped_m(spark, sf_dir).limit(0), pressure=0.3)
+    return tick.Snapshot(NOW, _chunk_m(spark, sf_dir), _pred_m(spark, sf_dir), _idx_m(spark, sf_dir), _dropped_m(spark, sf_dir), pressure=0.3)
 
 
 @query("tick_plan", _PLAN + " SELECT * FROM plan")
 def tick_plan(spark, sf_dir):
-    return tick.plan(_snapshot(spark, sf_dir), Config(max_hot_chunks=0)).select("action", "target", "priority", "plan_seq")
+    return tick.plan(_snapshot(spark, sf_dir), _TICK).select("action", "target", "priority", "plan_seq")
 
 
 @query(
@@ -524,13 +532,149 @@ def tick_plan(spark, sf_dir):
        SELECT action, target, priority, plan_seq FROM ranked WHERE action NOT IN ('build', 'restore') OR b <= 3 ORDER BY priority, plan_seq, target LIMIT 10""",
 )
 def action_budget(spark, sf_dir):
-    return tick.tick(_snapshot(spark, sf_dir), Config(max_hot_chunks=0)).select("action", "target", "priority", "plan_seq")
+    return tick.tick(_snapshot(spark, sf_dir), _TICK).select("action", "target", "priority", "plan_seq")
 
 
-@query("decision_events", "SELECT CASE WHEN tier = 'cold' THEN 'tier_change' END AS type, 'promote' AS action, seq::VARCHAR AS target, 'cold' AS tier_from, 'hot' AS tier_to FROM chunk_m WHERE tier = 'cold' AND temp > 0.5")
+@query(
+    "decision_events",
+    _PLAN + """ SELECT CASE WHEN action IN ('promote', 'demote') THEN 'tier_change' ELSE 'decision' END AS type,
+       CASE WHEN action IN ('promote', 'demote') THEN action ELSE action || '_index' END AS action, target,
+       CASE action WHEN 'promote' THEN 'cold' WHEN 'demote' THEN 'hot' END AS tier_from, CASE action WHEN 'promote' THEN 'hot' WHEN 'demote' THEN 'cold' END AS tier_to FROM plan""",
+)
 def decision_events(spark, sf_dir):
-    actions = tick.plan(_snapshot(spark, sf_dir), Config(max_hot_chunks=0)).where("action = 'promote'")
-    return tick.events_of(actions, NOW).select("type", "action", "target", "tier_from", "tier_to")
+    return tick.events_of(tick.plan(_snapshot(spark, sf_dir), _TICK), NOW).select("type", "action", "target", "tier_from", "tier_to")
+
+
+@query("drop_reasons", "SELECT index_id, 'idle=' || CASE WHEN last_used IS NULL THEN 'inf' ELSE printf('%.0f', idle) END || 's, roi=' || printf('%.3f', roi) AS reason FROM idx_roi")
+def drop_reasons(spark, sf_dir):
+    return tick.drop_reasons(_idx_m(spark, sf_dir), NOW)
+
+
+@query(
+    "static_builds",
+    """SELECT seq, field, kind FROM chunk_m, (VALUES ('service', 'hash'), ('level', 'hash'), ('ts', 'skip')) t(field, kind)
+       WHERE state != 'open' AND tier = 'hot' AND n > 0 AND NOT (field = 'level' AND seq IN (SELECT seq FROM idx_m))""",
+)
+def static_builds(spark, sf_dir):
+    return tick.static_builds(_snapshot(spark, sf_dir), Config(static_indexes=("service", "level", "ts"))).select("seq", "field", "kind")
+
+
+# The engine over tables of its own
+
+def _engine(spark, config: Config = Config()) -> tuple[Engine, list[float]]:
+    """An empty engine and its clock, whose one number is the present."""
+    clock = [NOW]
+    return Engine(spark, f"{scratch_dir(spark)}/engine-{uuid.uuid4().hex}", config, clock=lambda: clock[0]), clock
+
+
+@query("indexed_after_load", "SELECT pos, service FROM lg WHERE level = 'ERROR'")
+def indexed_after_load(spark, sf_dir):
+    """Chunks that are loaded after an index was built are scanned; those before are looked up."""
+    engine, _ = _engine(spark)
+    logs = _logs(spark, sf_dir)
+    engine.load(logs.where("ts < 1705400000"))
+    engine.build_index("hash", "level")
+    engine.load(logs.where("ts >= 1705400000"))  # one chunk gets more rows
+    return engine.find('level = "ERROR"').select("pos", "service")
+
+
+@query("hash_lookup_variant", "SELECT pos, service FROM lg WHERE k IN (7, 9)")
+def hash_lookup_variant(spark, sf_dir):
+    """A hash index on a key of the open map."""
+    logs = _logs(spark, sf_dir).select("pos", "ts", "service", "level", "msg", "seq", F.parse_json("props").alias("fields"))
+    index = indexes.make_index("hash", "k")
+    leaf = ir.Predicate("k", ir.IN, (7, 9))
+    return search.run(ir.Query(leaf), index.lookup(index.build(logs), logs, leaf)).select("pos", "service")
+
+
+@query("hash_lookup_mixed_in", "SELECT pos, service FROM lg WHERE user_id IN (7, 9)")
+def hash_lookup_mixed_in(spark, sf_dir):
+    """Literals of a type that the field never has match nothing, with an index as without."""
+    logs = _logs(spark, sf_dir)
+    index = indexes.make_index("hash", "user_id")
+    leaf = ir.Predicate("user_id", ir.IN, (7, "x", 9))
+    return index.lookup(index.build(logs), logs, leaf).select("pos", "service")
+
+
+@query("bloom_gate_variant", "SELECT pos, service FROM lg WHERE k = 7")
+def bloom_gate_variant(spark, sf_dir):
+    logs = _logs(spark, sf_dir).select("pos", "ts", "service", "level", "msg", "seq", F.parse_json("props").alias("fields"))
+    index = indexes.make_index("bloom", "k")
+    leaf = ir.Predicate("k", ir.EQ, 7)
+    return search.run(ir.Query(leaf), index.lookup(index.build(logs), logs, leaf)).select("pos", "service")
+
+
+def _asked(spark, sf_dir, config: Config = Config()) -> tuple[Engine, list[float]]:
+    """An engine that was asked six times for a service, three of them in a span of time."""
+    engine, clock = _engine(spark, config)
+    engine.load(_logs(spark, sf_dir))
+    for k in range(6):
+        clock[0] = NOW + k
+        engine.find('service = "svc-1"', time_range=(1704500000.0, 1704600000.0) if k % 2 else None)
+    return engine, clock
+
+
+_ASKED = ", touched AS (SELECT seq, n_rows, row_number() OVER (ORDER BY seq DESC) <= 32 AS hot FROM hd)"
+
+
+@query(
+    "snapshot_from_tables",
+    _ASKED + """ SELECT seq, n_rows AS n, round(0.9::DOUBLE * (1 - (1 - 0.9::DOUBLE) * 0.9::DOUBLE), 9) AS temp, CASE WHEN hot THEN 'hot' ELSE 'cold' END AS tier,
+       'persisted' AS state, 1706745600.0::DOUBLE + 20 AS last_access FROM touched""",
+)
+def snapshot_from_tables(spark, sf_dir):
+    """Heat after two turns: what was asked in the first heats to 1 and cools, then one more query and another turn."""
+    engine, clock = _asked(spark, sf_dir)
+    for moment, text in ((10, None), (20, 'level = "ERROR"')):
+        clock[0] = NOW + moment
+        if text:
+            engine.find(text)
+        engine.ticks += 1
+        engine.absorb(clock[0])
+    table = engine.snapshot(clock[0]).chunks
+    return table.select("seq", "n", F.round("temp", 9).alias("temp"), "tier", "state", "last_access")
+
+
+@query("predicates_from_tables", "SELECT 'service' AS field, '=' AS op, chr(39) || 'svc-1' || chr(39) AS value, 6::BIGINT AS freq, 1706745605.0::DOUBLE AS last_seen")
+def predicates_from_tables(spark, sf_dir):
+    engine, clock = _asked(spark, sf_dir)
+    engine.ticks += 1
+    engine.absorb(NOW + 10)
+    return engine.predicates.read()
+
+
+@query(
+    "tick_end_to_end",
+    _ASKED + """ SELECT 'decision' AS type, 'build_index' AS action, target, 'active' AS status FROM
+       (SELECT seq::VARCHAR || ':hash:service' AS target FROM touched WHERE hot ORDER BY target LIMIT 3)""",
+)
+def tick_end_to_end(spark, sf_dir):
+    """Asked often enough, a turn builds as many indexes as it may, and the catalog has them."""
+    engine, clock = _asked(spark, sf_dir)
+    events = engine.tick(NOW + 10)
+    listed = engine.catalog.read().select(F.col("index_id").alias("target"), F.lit("active").alias("status"))
+    return events.select("type", "action", "target").join(listed, "target", "left").select("type", "action", "target", "status")
+
+
+@query("find_after_tick", "SELECT pos, level FROM lg WHERE service = 'svc-1'")
+def find_after_tick(spark, sf_dir):
+    """Some chunks indexed, some in memory, the rest on disk: the rows are the same."""
+    engine, clock = _asked(spark, sf_dir)
+    engine.tick(NOW + 10)
+    engine.demote(2)
+    return engine.find('service = "svc-1"').select("pos", "level")
+
+
+@query("tombstone_expiry", "SELECT seq::VARCHAR || ':hash:service' AS index_id, 1706745600.0::DOUBLE + 500 AS dropped_at FROM hd")
+def tombstone_expiry(spark, sf_dir):
+    """Dropped 650 and 150 seconds before a turn; the cooldown is 600."""
+    engine, clock = _engine(spark)
+    engine.load(_logs(spark, sf_dir))
+    for field, moment in (("level", NOW), ("service", NOW + 500)):
+        engine.build_index("hash", field)
+        engine.drop_index("hash", field, now=moment)
+    engine.tick(NOW + 650)
+    return engine.tombstones.read().select("index_id", "dropped_at")
 
 
 # Views
@@ -605,15 +749,13 @@ def pressure_bucket(spark, sf_dir):
 
 # Streaming
 
-@query("stream_ingest", "SELECT service, count(*) AS n, min(ts) AS ts_min, max(ts) AS ts_max FROM lg GROUP BY service")
+@query("stream_ingest", "SELECT service, count(*) AS n, min(ts) AS ts_min, max(ts) AS ts_max FROM lg WHERE level = 'ERROR' GROUP BY service")
 def stream_ingest(spark, sf_dir):
-    """Events through a landing folder, the stream, and back from the chunk table."""
-    import uuid
-
+    """Events through a landing folder and the stream, and found by a text query over the chunks that it sealed."""
     root = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     landing = _logs(spark, sf_dir).select("ts", "service", "level", "msg", "props")
     landing.repartition(4).write.parquet(f"{root}/landing")
     source = spark.readStream.schema(landing.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/landing")
     streaming.ingest(source, root, NOW).awaitTermination()
-    stored = streaming.stored(spark, root)
-    return stored.groupBy("service").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("ts_min"), F.max("ts").alias("ts_max"))
+    found = Engine(spark, root, clock=lambda: NOW).find('level = "ERROR"')
+    return found.groupBy("service").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("ts_min"), F.max("ts").alias("ts_max"))

@@ -53,11 +53,12 @@ def read_landing(spark: SparkSession, path: str, streaming: bool = False, files_
 
 
 def write_chunks(logs: DataFrame, path: str, mode: str = "append", bloom_fields: tuple[str, ...] = ()) -> None:
-    """Chunk table: Parquet, partitioned by chunk, rows of a chunk in order of time, so that page statistics skip."""
-    writer = logs.repartition("seq").sortWithinPartitions("seq", "ts", "pos").write.mode(mode).option("compression", "zstd")
+    """Chunk table: Parquet files of many whole chunks each, in order of chunk and time, so that file and page statistics
+    skip by ``seq`` and ``ts``. A file a chunk would be millions of small files."""
+    writer = logs.repartitionByRange("seq").sortWithinPartitions("seq", "ts", "pos").write.mode(mode).option("compression", "zstd")
     for field in bloom_fields:
         writer = writer.option(f"parquet.bloom.filter.enabled#{field}", "true")
-    writer.partitionBy("seq").parquet(path)
+    writer.parquet(path)
 
 
 def export_json_lines(logs: DataFrame, path: str) -> None:
