@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
+from functools import cache
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,9 +29,44 @@ _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LATIN = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 _LATIN_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-#: For text whose characters are all below U+0100, and for any other.
+#: For text whose characters are all below U+0100; any other is cut by ``any_words``.
 LATIN_WORDS = re.compile(f"{_CONTRACTIONS}|[{_LATIN}]+|[{_LATIN_NUMBER}]|[^{_SPACE}{_LATIN}{_LATIN_NUMBER}]+")
-ANY_WORDS = regex.compile(rf"{_CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+
+
+@cache
+def every_letter() -> str:
+    return "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+
+
+def class_ranges(pattern: str) -> str:
+    """The characters of a class of the tokenizers library, whose Unicode version is its own, as ranges for a regex."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    found = Split(Regex(f"{pattern}+"), "removed", invert=True).pre_tokenize_str(every_letter())
+    return "".join(f"\\U{ord(run[0]):08x}-\\U{ord(run[-1]):08x}" for part, _ in found for run in _runs(part))
+
+
+def _runs(part: str) -> Iterator[str]:
+    """Parts of a string without a gap between its characters."""
+    begin = 0
+    for k in range(1, len(part) + 1):
+        if k == len(part) or ord(part[k]) != ord(part[k - 1]) + 1:
+            yield part[begin:k]
+            begin = k
+
+
+@cache
+def unicode_tables() -> tuple[str, dict[int, str]]:
+    """The library's own letters, numbers and white space as a pattern that cuts text into words, and the letters that it
+    lowers in another way than Python does. Asked from the library once, on the driver."""
+    from tokenizers import normalizers
+
+    letter, number, space = class_ranges(r"\p{L}"), class_ranges(r"\p{N}"), class_ranges(r"\s")
+    letters = every_letter().replace("\n", "")
+    lowered = normalizers.Lowercase().normalize_str("\n".join(letters)).split("\n")
+    other = {ord(a): b for a, b in zip(letters, lowered) if a.lower() != b or a == "Σ"}
+    return f"{_CONTRACTIONS}|[{letter}]+|[{number}]|[^{space}{letter}{number}]+", other
 
 
 def byte_letters() -> list[str]:
@@ -41,11 +76,21 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def _lowered(text: str, other: dict[int, str]) -> str:
+    if not any(ord(c) in other for c in set(text)):
+        return text.lower()
+    return "".join(other[o] if (o := ord(c)) in other else c.lower() for c in text)
+
+
 class WordBpe:
-    """Encoder and decoder for a tokenizer file with word ends, read from its JSON text."""
+    """Encoder and decoder for a tokenizer file with word ends, read from its JSON text; ``tables`` as of ``unicode_tables``."""
+
+    def __init__(self, definition: str, tables: tuple[str, dict[int, str]] | None = None):
+        from tokenizers import normalizers
 
-    def __init__(self, definition: str):
         spec = json.loads(definition)
+        pattern, self.lowered_apart = tables or unicode_tables()
+        self.any_words, self.composed = regex.compile(pattern), normalizers.NFC().normalize_str
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         end = model["end_of_word_suffix"] or ""
@@ -84,17 +129,15 @@ class WordBpe:
             return out
         return self.words_of_plain(text)
 
-    @staticmethod
-    def words_of_plain(text: str) -> list[str]:
+    def words_of_plain(self, text: str) -> list[str]:
         if text.isascii():
             return LATIN_WORDS.findall(text.lower())
-        # Letter by letter, so no form depends on a letter's place in the word.
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return ANY_WORDS.findall(text)
-        return LATIN_WORDS.findall(text)
+            # What the library lowers in its own way goes letter by letter, so no form depends on its place in the word.
+            return self.any_words.findall(_lowered(self.composed(text), self.lowered_apart))
+        return LATIN_WORDS.findall(text.lower())
 
     def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the words, one after another, and how many each has."""
@@ -184,9 +227,9 @@ class WordBpe:
 
 
 @lean
-def encode_batches(batches: Iterable[pa.RecordBatch], definition: str) -> Iterator[pa.RecordBatch]:
+def encode_batches(batches: Iterable[pa.RecordBatch], definition: str, tables: tuple) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, ids)."""
-    bpe = WordBpe(definition)
+    bpe = WordBpe(definition, tables)
     for whole in batches:
         for batch in slices(whole, 1, 1 << 20):
             ids, counts = bpe.encode(filled(batch.column(1)).to_pylist())
@@ -209,9 +252,9 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 @lean
-def decode_batches(batches: Iterable[pa.RecordBatch], definition: str) -> Iterator[pa.RecordBatch]:
+def decode_batches(batches: Iterable[pa.RecordBatch], definition: str, tables: tuple) -> Iterator[pa.RecordBatch]:
     """(id, ids) to (id, ids, text)."""
-    bpe = WordBpe(definition)
+    bpe = WordBpe(definition, tables)
     for batch in batches:
         texts = pa.array([bpe.decode(ids) for ids in _lists(batch.column(1))], pa.string())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["id", "ids", "text"])
@@ -267,28 +310,28 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     to slices of some MB, so memory follows the longest single text.
     """
     ship_package(docs.sparkSession)
-    definition = _definition(tokenizer)
+    definition, tables = _definition(tokenizer), unicode_tables()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    out = rows.mapInArrow(lambda b: encode_batches(b, definition), f"id {_kind(docs, id_col)}, ids array<int>")
+    out = rows.mapInArrow(lambda b: encode_batches(b, definition, tables), f"id {_kind(docs, id_col)}, ids array<int>")
     return out.withColumnRenamed("id", id_col)
 
 
 def bpe_decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str | None = None) -> DataFrame:
     """Text of every list of ids: ``id, ids, text``. A null list counts as empty; null ids in a list and ids outside the vocabulary give nothing."""
     ship_package(encoded.sparkSession)
-    definition = _definition(tokenizer)
+    definition, tables = _definition(tokenizer), unicode_tables()
     rows = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].cast("array<int>").alias("ids"))
-    out = rows.mapInArrow(lambda b: decode_batches(b, definition), f"id {_kind(encoded, id_col)}, ids array<int>, text string")
+    out = rows.mapInArrow(lambda b: decode_batches(b, definition, tables), f"id {_kind(encoded, id_col)}, ids array<int>, text string")
     return out.withColumnRenamed("id", id_col)
 
 
 def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """``bpe_encode`` and ``bpe_decode`` in one Python pass, as digests: ``id, n_tokens, ids_sha256, decoded_sha256``. Edge cases as there."""
     ship_package(docs.sparkSession)
-    definition = _definition(tokenizer)
+    definition, tables = _definition(tokenizer), unicode_tables()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     out = rows.mapInArrow(
-        lambda b: digest_batches(decode_batches(encode_batches(b, definition), definition)),
+        lambda b: digest_batches(decode_batches(encode_batches(b, definition, tables), definition, tables)),
         f"id {_kind(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string",
     )
     return out.withColumnRenamed("id", id_col)
@@ -297,10 +340,10 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def bpe_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """``id, ids, n_tokens, decoded_sha256``: encoded texts ready for training, decoded once for a check. Edge cases as ``bpe_encode``."""
     ship_package(docs.sparkSession)
-    definition = _definition(tokenizer)
+    definition, tables = _definition(tokenizer), unicode_tables()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     out = rows.mapInArrow(
-        lambda b: table_batches(decode_batches(encode_batches(b, definition), definition)),
+        lambda b: table_batches(decode_batches(encode_batches(b, definition, tables), definition, tables)),
         f"id {_kind(docs, id_col)}, ids array<int>, n_tokens long, decoded_sha256 string",
     )
     return out.withColumnRenamed("id", id_col)

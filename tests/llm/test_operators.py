@@ -90,6 +90,21 @@ def test_bpe_equals_the_library(spark, odd):
         assert (digests[k]["n_tokens"], digests[k]["decoded_sha256"]) == (len(ids), hashlib.sha256(decoded.encode()).hexdigest())
 
 
+def test_every_code_point_is_cut_and_lowered_as_by_the_library():
+    """Each once between letters, alone, and before and after a combining mark."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ours, library, letters = bpe.WordBpe(bpe._definition(path)), Tokenizer.from_file(path), bpe.every_letter()
+    for lo in range(0, len(letters), 20_000):
+        texts = [f"a{c}b {c} e{c}\u0301{c}" for c in letters[lo : lo + 20_000]]
+        ids, counts = ours.encode(texts)
+        ends = np.cumsum(counts)
+        for k, encoding in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+            assert ids[ends[k] - counts[k] : ends[k]].tolist() == encoding.ids, hex(ord(letters[lo + k]))
+
+
 def test_decode_of_odd_lists(spark):
     df = spark.createDataFrame([(1, None), (2, []), (3, [320, None, 99_999_999, -1])], "doc_id long, ids array<int>")
     assert [len(r["text"].split()) for r in bpe.bpe_decode(df).orderBy("doc_id").collect()] == [0, 0, 1]
