@@ -201,8 +201,8 @@ class CountMin:
         return np.take_along_axis(self.table, hashed, axis=1).min(axis=0)
 
 
-def count_min(rows: DataFrame, key: str, eps: float = 0.002, confidence: float = 0.99, seed: int = 42) -> CountMin:
-    """A sketch of a whole-number key, of fixed size whatever the input. Hash other keys first."""
+def count_min(rows: DataFrame, key: str, eps: float = 2 / Config.cms_w, confidence: float = 1 - 0.5**Config.cms_d, seed: int = 42) -> CountMin:
+    """A sketch of a whole-number key, of fixed size whatever the input: ``cms_w`` counters in ``cms_d`` rows. Hash other keys first."""
     sketch = F.count_min_sketch(F.col(key).cast("long"), F.lit(eps), F.lit(confidence), F.lit(seed))
     return CountMin.read(bytes(rows.agg(sketch).first()[0]))
 
