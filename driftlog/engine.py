@@ -56,6 +56,7 @@ class Engine:
         self.query_events: list[dict] = []
         self.queries = self.ticks = 0
         self.rows_seen: tuple[float, int] | None = None
+        self._rates = 0.0, 1.0
         self._lock = threading.Lock()
 
     # Rows
@@ -175,8 +176,11 @@ class Engine:
 
     # Physical design
 
-    def build_index(self, kind: str, field: str, seqs: list[int] | None = None, op: str | None = None) -> DataFrame:
-        """Builds the sidecar of some chunks, or of all, and lists it in the catalog. Chunks that have one get it anew."""
+    def build_index(self, kind: str, field: str, seqs: list[int] | None = None, op: str | None = None, now: float | None = None) -> DataFrame:
+        """Builds the sidecar of some chunks, or of all, and lists it in the catalog. Chunks that have one get it anew.
+
+        An index idles from its birth on. One that is built again keeps the uses that it had.
+        """
         logs = self.logs if seqs is None else self.logs.where(F.col("seq").isin(seqs))
         path = f"{self.root}/sidecars/{kind}-{field.replace('/', '_')}-{uuid.uuid4().hex}"
         index = indexes.make_index(kind, field)
@@ -186,12 +190,11 @@ class Engine:
         size = index.memory_bytes(sidecar)
         fresh = asked.join(size, "seq", "left").select(
             indexes.index_id(F.col("seq"), kind, field).alias("index_id"), "seq", F.lit(kind).alias("kind"), F.lit(field).alias("field"), F.lit(op).cast("string").alias("op"),
-            F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), F.lit(0).cast("long").alias("usage"), F.lit(None).cast("double").alias("last_used"), F.lit(path).alias("path"),
+            F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), F.lit(0).cast("long").alias("usage"), F.lit(float(self.clock() if now is None else now)).alias("last_used"), F.lit(path).alias("path"),
         )
-        before = self.tombstones.read()
-        again = before.select("index_id", F.col("usage").alias("prior"))  # a restored index keeps the uses it had
+        before, known = self.tombstones.read(), self.catalog.read()
+        again = before.select("index_id", "usage").unionByName(known.select("index_id", "usage")).groupBy("index_id").agg(F.max("usage").alias("prior"))
         fresh = fresh.join(again, "index_id", "left").withColumn("usage", F.coalesce("prior", "usage")).drop("prior")
-        known = self.catalog.read()
         self.catalog.write(known.join(fresh.select("index_id"), "index_id", "left_anti").unionByName(fresh))
         self.tombstones.write(before.join(self.catalog.read().select("index_id"), "index_id", "left_anti"))
         return sidecar
@@ -225,20 +228,21 @@ class Engine:
     # The control loop
 
     def pressure(self) -> float:
-        """Bytes of HOT chunks and of indexes, as a share of the budget."""
+        """Bytes of HOT chunks and of indexes, as a share of the budget, 1 at most."""
         rows = self.headers.where(F.col("seq").isin(sorted(self.hot))).agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()[0] if self.hot else 0
         held = self.catalog.read().agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-        return (rows + held) / self.config.max_memory_bytes
+        return min(1.0, (rows + held) / self.config.max_memory_bytes)
 
     def absorb(self, now: float) -> None:
         """Takes what was asked since the last tick into heat, predicate counts and index usage, cools all chunks, and lets counts decay."""
         with self._lock:
             asked, self.query_events = self.query_events, []
         events = self.spark.createDataFrame([tuple(e[k] for k in ("query", "ts", "low", "high", "field", "op", "value", "index")) for e in asked], EVENTS)
-        queries = events.select("query", "ts", "low", "high", "index").distinct()
+        # Queries of the same range and index are one row, so that chunks meet ranges and not queries.
+        queries = events.groupBy("low", "high", "index").agg(F.count_distinct("query").alias("asked"), F.max("ts").alias("ts"))
         heads = self.headers.select("seq", "ts_min", "ts_max")
         touched = heads.join(F.broadcast(queries), F.col("low").isNull() | ((F.col("ts_max") >= F.col("low")) & (F.col("ts_min") <= F.col("high"))))
-        reached = touched.groupBy("seq").agg(F.count(F.lit(1)).alias("times"), F.max("ts").alias("seen"))
+        reached = touched.groupBy("seq").agg(F.sum("asked").alias("times"), F.max("ts").alias("seen"))
         cool = 1 - self.config.ema_alpha_chunk_temp
         kept = F.pow(F.lit(cool), F.coalesce("times", F.lit(0)))
         heated = F.when(F.col("temp").isNull(), F.when(F.col("times") > 0, 1.0).otherwise(0.0)).otherwise(1 - (1 - F.col("temp")) * kept)
@@ -247,7 +251,7 @@ class Engine:
 
         fresh = events.groupBy("field", "op", "value").agg(F.count(F.lit(1)).alias("freq"), F.max("ts").alias("last_seen"))
         counts = self.predicates.read().unionByName(fresh).groupBy("field", "op", "value").agg(F.sum("freq").cast("long").alias("freq"), F.max("last_seen").alias("last_seen"))
-        used = touched.where("index IS NOT NULL").groupBy(F.concat_ws(":", F.col("seq").cast("string"), "index").alias("index_id")).agg(F.count(F.lit(1)).alias("times"), F.max("ts").alias("seen"))
+        used = touched.where("index IS NOT NULL").groupBy(F.concat_ws(":", F.col("seq").cast("string"), "index").alias("index_id")).agg(F.sum("asked").alias("times"), F.max("ts").alias("seen"))
         listed = self.catalog.read().join(used, "index_id", "left").withColumn("usage", F.col("usage") + F.coalesce("times", F.lit(0))).withColumn("last_used", F.coalesce("seen", "last_used"))
         if self.config.decay_every_n_ticks > 0 and self.ticks % self.config.decay_every_n_ticks == 0:
             counts = metrics.decay(counts, "freq", self.config.decay_factor)
@@ -322,17 +326,23 @@ class Engine:
         self._publish(events)
         if not given:
             table = snapshot.chunks
-            self._publish(views.metric_tick(table, self.catalog.read(), now, rate, ratio, snapshot.pressure))
+            self._rates = rate, ratio
+            self.publish_metrics(now, snapshot)
             counts = table.count(), self.catalog.read().count(), self.tombstones.read().count()
             row = (now, self.ticks, n_planned, len(done), len(todo) - len(done), float(snapshot.pressure), snapshot.is_burst, *counts)
             self.spark.createDataFrame([row], SUMMARY).write.mode("append").parquet(f"{self.root}/tick_summaries")
         return self.spark.createDataFrame(events.collect(), events.schema)
 
+    def publish_metrics(self, now: float, snapshot: tick.Snapshot | None = None) -> None:
+        """A ``metric_tick`` event, with the write rate and burst ratio of the last tick."""
+        snapshot = snapshot or self.snapshot(now)
+        self._publish(views.metric_tick(snapshot.chunks, self.catalog.read(), now, *self._rates, snapshot.pressure))
+
     def _build_static(self, snapshot: tick.Snapshot) -> None:
         """Missing static indexes, all chunks of one index together; outside the budget and without an event."""
         missing = tick.static_builds(snapshot, self.config)
         for r in missing.groupBy("kind", "field").agg(F.collect_list("seq").alias("seqs")).collect():  # hot chunks, so no more than the cap
-            self.build_index(r["kind"], r["field"], sorted(r["seqs"]))
+            self.build_index(r["kind"], r["field"], sorted(r["seqs"]), now=snapshot.now)
 
     def _apply(self, action, now: float) -> None:
         kind, target = action["action"], action["target"]
@@ -341,18 +351,25 @@ class Engine:
             return
         seq, index, field = target.split(":", 2)
         if kind in ("build", "restore"):
-            self.build_index(index, field, [int(seq)], action["op"])
+            self.build_index(index, field, [int(seq)], action["op"], now)
         else:  # drop and evict: the catalog forgets the index, a tombstone keeps the way back
             self.drop_index(index, field, [int(seq)], now)
 
     def run(self, stop: threading.Event, interval: float | None = None) -> None:
-        """Ticks until ``stop`` is set; a tick that fails is logged and the loop goes on."""
+        """Ticks until ``stop`` is set, with metrics in between; what fails is logged and the loop goes on."""
+        wait = self.config.tick_interval_sec if interval is None else interval
         while not stop.is_set():
             try:
                 self.tick()
             except Exception:
                 log.exception("tick failed")
-            stop.wait(self.config.tick_interval_sec if interval is None else interval)
+            until = time.monotonic() + wait
+            while (left := until - time.monotonic()) > 0 and not stop.wait(min(left, self.config.metric_tick_interval_sec)):
+                if until - time.monotonic() > 0:
+                    try:
+                        self.publish_metrics(self.clock())
+                    except Exception:
+                        log.exception("metrics failed")
 
     # What others see
 
@@ -373,5 +390,12 @@ class Engine:
         """Chunks that weren't touched since a moment."""
         return self.headers.select("seq").join(self.heat.read(), "seq", "left").where(F.col("last_access").isNull() | (F.col("last_access") < since))
 
+    def forget_heat(self, seqs: list[int]) -> None:
+        """Takes chunks out of the heat table; they come back cold with the next tick."""
+        self.heat.write(self.heat.read().where(~F.col("seq").isin(seqs)))
+
+    def top_predicates(self, k: int = Config.topk_k) -> DataFrame:
+        return metrics.top_predicates(self.predicates.read(), k)
+
     def health(self) -> dict:
         return {"status": "ok", "chunks": self.headers.count() if self._exists("headers") else 0, "ticks": self.ticks, "pending_queries": len(self.query_events)}

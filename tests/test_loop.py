@@ -74,10 +74,10 @@ def test_an_action_that_fails_stops_no_other(spark, engine, monkeypatch):
         engine.find('service = "auth"').count()
     build = engine.build_index
 
-    def sometimes(kind, field, seqs=None, op=None):
+    def sometimes(kind, field, seqs=None, op=None, now=None):
         if seqs == [1]:
             raise OSError("disk is full")
-        return build(kind, field, seqs, op)
+        return build(kind, field, seqs, op, now)
 
     monkeypatch.setattr(engine, "build_index", sometimes)
     events = engine.tick(110.0).collect()
@@ -96,6 +96,30 @@ def test_pressure_demotes_and_evicts(spark, tmp_path):
     assert tight.find('service = "auth"').count() == 10 and sorted(r["seq"] for r in tight.cold(50.0).collect()) == [0, 1, 2, 3]
 
 
+def test_an_index_idles_from_its_birth(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "birth"), Config(chunk_max_entries=5), clock=lambda: 1000.0)
+    engine.load(rows(spark, 0, 10))
+    engine.build_index("hash", "service", now=1000.0)
+    made = lambda now: [r["action"] for r in engine.tick(now).where("type = 'decision'").collect()]
+    assert made(1050.0) == [] and engine.catalog.read().count() == 2  # young, though never used
+    assert made(1700.0) == ["drop_index"] * 2 and engine.tombstones.read().count() == 2
+
+
+def test_uses_and_heat_are_counted_by_query(spark, engine):
+    engine.build_index("hash", "service")
+    for _ in range(3):
+        engine.find('service = "auth" and level = "INFO"').count()
+    engine.find('service = "auth"', (0.0, 4.0)).count()
+    engine.absorb(110.0)
+    used = {r["seq"]: r["usage"] for r in engine.catalog.read().collect()}
+    assert used == {0: 2} | dict.fromkeys(range(1, 6), 1)  # usage after the decay of the first turn: 4 and 3 halved
+    engine.build_index("hash", "service", [0])
+    assert engine.catalog.read().where("seq = 0").first()["usage"] == 2
+    assert engine.hottest(1).first()["seq"] == 0
+    engine.forget_heat([0])
+    assert engine.heat.read().count() == 5 and engine.top_predicates(1).first()["field"] == "service"
+
+
 def test_static_indexes_come_without_being_asked(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "static"), Config(static_indexes=("service", "ts")), clock=lambda: 100.0)
     engine.load(rows(spark, 0, 10))
