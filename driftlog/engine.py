@@ -21,11 +21,12 @@ from driftlog.config import Config
 from driftlog.operators import chunks, decisions, indexes, metrics, search, tick, views
 from driftlog.plans import ir
 from driftlog.plans.parser import ParseError, parse
-from driftlog.sources.logs import write_chunks
+from driftlog.sources.logs import LANDING_SCHEMA, write_chunks
 from driftlog.state import Table
 
 log = logging.getLogger(__name__)
 
+HEADERS = "chunk_id string, seq int, n_rows long, ts_min double, ts_max double, size_bytes long, services array<string>, persisted_at double, is_open boolean"
 CATALOG = "index_id string, seq int, kind string, field string, op string, bytes long, usage long, last_used double, path string"
 TOMBSTONES = "index_id string, seq int, kind string, field string, op string, usage long, dropped_at double"
 HEAT = "seq int, temp double, last_access double"
@@ -92,13 +93,16 @@ class Engine:
     def _tables(self, name: str) -> DataFrame:
         return self.spark.read.option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}")
 
-    def _exists(self, path: str) -> bool:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
-        return target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
+    def _exists(self, name: str) -> bool:
+        """Whether a table holds a batch that is written whole."""
+        whole = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/batch=*/_SUCCESS")
+        return bool(whole.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).globStatus(whole))
 
     @property
     def headers(self) -> DataFrame:
-        """A row for each chunk, over all batches that hold rows of it."""
+        """A row for each chunk, over all batches that hold rows of it; none before the first batch."""
+        if not self._exists("headers"):
+            return self.spark.createDataFrame([], HEADERS)
         parts = self._tables("headers").groupBy("seq").agg(
             F.sum("n_rows").alias("n_rows"), F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max"), F.sum("size_bytes").alias("size_bytes"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("services")))).alias("services"), F.max("persisted_at").alias("persisted_at"),
@@ -108,7 +112,9 @@ class Engine:
 
     @property
     def logs(self) -> DataFrame:
-        """All rows: HOT chunks from memory, the others from Parquet."""
+        """All rows: HOT chunks from memory, the others from Parquet. Before the first batch, no rows of the landing schema."""
+        if not self._exists("headers"):
+            return self.spark.createDataFrame([], f"pos long, {LANDING_SCHEMA}, seq int")
         stored = self._tables("logs").drop("batch")
         if not self.hot:
             return stored
@@ -398,4 +404,4 @@ class Engine:
         return metrics.top_predicates(self.predicates.read(), k)
 
     def health(self) -> dict:
-        return {"status": "ok", "chunks": self.headers.count() if self._exists("headers") else 0, "ticks": self.ticks, "pending_queries": len(self.query_events)}
+        return {"status": "ok", "chunks": self.headers.count(), "ticks": self.ticks, "pending_queries": len(self.query_events)}

@@ -60,6 +60,12 @@ def test_state_survives_a_restart(spark, engine):
     assert again.catalog.read().where("seq >= 6").count() == 0
 
 
+def test_an_engine_without_rows_ticks_and_answers(spark, tmp_path):
+    empty = Engine(spark, str(tmp_path / "none"), clock=lambda: 100.0)
+    assert empty.tick(100.0).count() == 0 and empty.find("user_id = 7").count() == 0 and empty.health()["chunks"] == 0
+    assert empty.pressure() == 0 and empty.next_seq() == 0 and empty.cold(50.0).count() == 0
+
+
 def test_old_versions_of_state_go(spark, engine):
     early = engine.catalog.read()
     for k in range(3):
