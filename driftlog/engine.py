@@ -7,6 +7,7 @@ metadata. A tick turns what was asked since the last one into new state, plans,
 
 from __future__ import annotations
 
+import functools
 import logging
 import threading
 import time
@@ -41,10 +42,22 @@ PUBLISHED = (
 SUMMARY = "ts double, tick long, planned long, applied long, failed long, pressure double, is_burst boolean, n_chunks long, n_indexes long, n_dropped long"
 
 
+def _alone(method: Callable) -> Callable:
+    """A method that changes state: one thread at a time."""
+
+    @functools.wraps(method)
+    def run(self, *args, **kwargs):
+        with self._state:
+            return method(self, *args, **kwargs)
+
+    return run
+
+
 class Engine:
     """HOT chunks are persisted and read from memory by ``find``, COLD ones come from Parquet; both give the same rows.
 
-    ``clock`` gives the present where a method isn't told it.
+    ``clock`` gives the present where a method isn't told it. Threads may share an engine; a folder has one at a time, and ingest
+    in the same process takes it as ``engine``.
     """
 
     def __init__(self, spark: SparkSession, root: str, config: Config = Config(), clock: Callable[[], float] = time.time):
@@ -58,7 +71,7 @@ class Engine:
         self.queries = self.ticks = 0
         self.rows_seen: tuple[float, int] | None = None
         self._rates = 0.0, 1.0
-        self._lock = threading.Lock()
+        self._lock, self._state = threading.Lock(), threading.RLock()
 
     # Rows
 
@@ -71,6 +84,7 @@ class Engine:
         write_chunks(logs, f"{self.root}/logs/batch={number}", "overwrite", bloom_fields)
         self.register(number, now)
 
+    @_alone
     def register(self, number: int, now: float | None = None, still_open: list[int] = ()) -> None:
         """Headers, sketches, state and events for a batch that is written; running it again replaces them."""
         moment = self.clock() if now is None else now
@@ -182,6 +196,7 @@ class Engine:
 
     # Physical design
 
+    @_alone
     def build_index(self, kind: str, field: str, seqs: list[int] | None = None, op: str | None = None, now: float | None = None) -> DataFrame:
         """Builds the sidecar of some chunks, or of all, and lists it in the catalog. Chunks that have one get it anew.
 
@@ -205,6 +220,7 @@ class Engine:
         self.tombstones.write(before.join(self.catalog.read().select("index_id"), "index_id", "left_anti"))
         return sidecar
 
+    @_alone
     def drop_index(self, kind: str, field: str, seqs: list[int] | None = None, now: float | None = None) -> None:
         """Takes indexes from the catalog and leaves tombstones with their uses."""
         moment, known = self.clock() if now is None else now, self.catalog.read()
@@ -216,6 +232,7 @@ class Engine:
         self.tombstones.write(before.unionByName(gone))
         self.catalog.write(known.where(~mine))
 
+    @_alone
     def _move(self, seqs: list[int], hot: bool) -> None:
         after = self.hot | set(seqs) if hot else self.hot - set(seqs)
         if self._frame is not None:
@@ -239,6 +256,7 @@ class Engine:
         held = self.catalog.read().agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
         return min(1.0, (rows + held) / self.config.max_memory_bytes)
 
+    @_alone
     def absorb(self, now: float) -> None:
         """Takes what was asked since the last tick into heat, predicate counts and index usage, cools all chunks, and lets counts decay."""
         with self._lock:
@@ -265,6 +283,7 @@ class Engine:
         self.predicates.write(counts)
         self.catalog.write(listed)
 
+    @_alone
     def step_burst(self, now: float) -> tuple[bool, float, float]:
         """One sample of the write rate into the two averages and the hysteresis: in burst, the ratio, the rate. Entering and leaving are published."""
         total = int(self._tables("headers").agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]) if self._exists("headers") else 0
@@ -298,6 +317,7 @@ class Engine:
             sketches = self._tables("sketches").select("seq", "field").distinct().unionByName(fixed)
         return tick.Snapshot(now, table, self.predicates.read(), self.catalog.read(), self.tombstones.read(), self.pressure(), is_burst, sketches)
 
+    @_alone
     def tick(self, snapshot: tick.Snapshot | float | None = None) -> DataFrame:
         """One turn: absorb, burst step, static indexes, plan within the budget, apply, expire, publish. Returns the events of this turn's actions.
 
@@ -396,6 +416,7 @@ class Engine:
         """Chunks that weren't touched since a moment."""
         return self.headers.select("seq").join(self.heat.read(), "seq", "left").where(F.col("last_access").isNull() | (F.col("last_access") < since))
 
+    @_alone
     def forget_heat(self, seqs: list[int]) -> None:
         """Takes chunks out of the heat table; they come back cold with the next tick."""
         self.heat.write(self.heat.read().where(~F.col("seq").isin(seqs)))

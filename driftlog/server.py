@@ -136,7 +136,7 @@ class Runtime:
 
     def start(self) -> Runtime:
         rows = read_landing(self.spark, self.inbox.landing, streaming=True, files_per_trigger=self.files_per_trigger)
-        self.ingest = ingest.ingest(rows, self.root, self.clock, available_now=False, interval=1.0, config=self.config)
+        self.ingest = ingest.ingest(rows, self.root, self.clock, available_now=False, interval=1.0, config=self.config, engine=self.engine)
         self.engine._publish(self.spark.createDataFrame([(float(self.clock()), "started")], "ts double, type string"), "started")  # the folder is there from now on
         told = ingest.event_stream(self.spark, self.root).writeStream.foreachBatch(self._tell)
         self.told = told.option("checkpointLocation", f"{self.root}/checkpoint-events/{uuid.uuid4().hex}").start()

@@ -17,24 +17,29 @@ class Table:
 
     def __init__(self, spark: SparkSession, root: str, name: str, schema: str):
         self.spark, self.path, self.schema = spark, f"{root}/state/{name}", schema
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path
-        target = hadoop(self.path)
-        store = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        found = [str(s.getPath().getName()) for s in store.listStatus(target)] if store.exists(target) else []
-        whole = sorted(int(n[2:]) for n in found if n.startswith("v=") and store.exists(hadoop(f"{self.path}/{n}/_SUCCESS")))
-        self.since = dict.fromkeys(whole, time.time())
+        self.since: dict[int, float] = {}
+        self.look()
+
+    def look(self) -> None:
+        """Takes notice of versions that others wrote or removed."""
+        whole = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v=*/_SUCCESS")
+        found = whole.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).globStatus(whole) or []
+        numbers = {int(str(f.getPath().getParent().getName())[2:]) for f in found}
+        self.since = {n: self.since.get(n, time.time()) for n in sorted(numbers)}
 
     @property
     def version(self) -> int:
         return max(self.since, default=-1)
 
     def read(self) -> DataFrame:
+        self.look()
         if self.version < 0:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={self.version}")
 
     def write(self, rows: DataFrame) -> None:
         columns = self.spark.createDataFrame([], self.schema).columns
+        self.look()
         number = self.version + 1
         rows.select(*columns).write.mode("overwrite").parquet(f"{self.path}/v={number}")
         self.since[number] = time.time()

@@ -17,15 +17,16 @@ from driftlog.sources.logs import valid, write_chunks
 BATCH_SPAN = 1 << 40
 
 
-def _sink(root: str, now: float | Callable[[], float], config: Config = Config(), lanes: int = 1):
+def _sink(root: str, now: float | Callable[[], float], config: Config = Config(), lanes: int = 1, engine: Engine | None = None):
     """Writes a batch under its own number, as chunks that ``Engine`` reads: a batch that is run again replaces what it wrote before."""
+    given = engine
 
     def write(batch: DataFrame, number: int) -> None:
         moment = now() if callable(now) else now
         held = batch.persist()
         try:
             held.where(~valid(moment)).write.mode("overwrite").parquet(f"{root}/quarantine/batch={number}")
-            engine = Engine(batch.sparkSession, root, config, clock=lambda: moment)
+            engine = given or Engine(batch.sparkSession, root, config, clock=lambda: moment)
             good = held.where(valid(moment))
             if good.isEmpty():
                 return
@@ -84,11 +85,13 @@ def _still_open(engine: Engine, number: int, config: Config, lanes: int) -> list
 
 
 def ingest(
-    source: DataFrame, root: str, now: float | Callable[[], float] = time.time, available_now: bool = True, interval: float = Config.tick_interval_sec, config: Config = Config(), lanes: int = 1
-):
+    source: DataFrame, root: str, now: float | Callable[[], float] = time.time, available_now: bool = True, interval: float = Config.tick_interval_sec,
+    config: Config = Config(), lanes: int = 1, engine: Engine | None = None,
+):
     """Starts the stream. The checkpoint and the batch numbers take the place of a write-ahead log: rows that
-    were taken in are neither lost nor doubled by a restart. ``now`` is asked for each batch; ``lanes`` are writers that seal on their own."""
-    writer = source.writeStream.foreachBatch(_sink(root, now, config, lanes)).option("checkpointLocation", f"{root}/checkpoint")
+    were taken in are neither lost nor doubled by a restart. ``now`` is asked for each batch; ``lanes`` are writers that seal on their own.
+    An engine over the same folder in this process must be given, so that it learns of chunks that get more rows."""
+    writer = source.writeStream.foreachBatch(_sink(root, now, config, lanes, engine)).option("checkpointLocation", f"{root}/checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{interval} seconds")).start()
 
 

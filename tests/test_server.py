@@ -9,7 +9,9 @@ import urllib.request
 import pytest
 
 from driftlog.config import Config
+from driftlog.engine import Engine
 from driftlog.server import Broker, Inbox, Runtime, http_server, problem
+from driftlog.streaming import ingest
 
 ROW = {"ts": 10.0, "service": "auth", "level": "ERROR", "msg": "no", "fields": {"user_id": 7, "host": "h1"}}
 
@@ -98,3 +100,18 @@ def test_what_was_accepted_is_there_after_a_stop(spark, tmp_path):
         assert runtime.inbox.try_append(ROW | {"service": "billing"})
     found = runtime.engine.find("ts exists").select("service").collect()
     assert sorted(r["service"] for r in found) == ["auth", "billing"]
+
+
+def test_an_index_on_a_growing_chunk_hides_no_row(spark, tmp_path):
+    root, schema = str(tmp_path / "root"), "ts double, service string, level string, msg string"
+    engine = Engine(spark, root, clock=lambda: 100.0)
+    write = ingest._sink(root, 100.0, engine=engine)
+    batch = lambda n: spark.createDataFrame([(float(n), "auth", "INFO", f"m{n}")], schema)
+    write(batch(0), 0)
+    assert engine.hot == {0} and engine.find('service = "auth"').count() == 1
+    engine.build_index("hash", "service")
+    write(batch(1), 1)  # the open chunk 0 goes on
+    assert engine.find('service = "auth"').count() == 2 and engine.headers.count() == 1
+    engine.build_index("hash", "service")
+    ingest._sink(root, 100.0)(batch(2), 2)  # by another process
+    assert engine.catalog.read().count() == 0 and engine.catalog.version == Engine(spark, root).catalog.version
