@@ -40,6 +40,8 @@ BINS, BAND = 32, 4
 GROUP_SIZE, GROUP_TOKENS, SIZE_STEP = 64, 1 << 18, 1.05
 #: A token counts as frequent if some task meets it so often in a run of RUN_TOKENS; the table of frequent tokens is bounded.
 LOCAL_REPEATS, RUN_TOKENS, FREQUENT_TOKENS = 3, 1_000_000, 500_000
+#: Rows from which on a cluster is not left to one task of a join.
+HOT_ROWS = 10_000
 #: Keys up to so many are broadcast, more are joined by shuffle.
 BROADCAST_KEYS = 2_000_000
 #: Queries held against one copy of a group's members.
@@ -325,6 +327,22 @@ def _few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
+def _with_sizes(rows: DataFrame, sizes: DataFrame, keys: list[str], many: str) -> DataFrame:
+    """Rows (by id) with the columns of their key's row in a written table of sizes, null where there is none.
+
+    Keys of many rows are broadcast: those of at least a BROADCAST_KEYS-th of all rows are no more than BROADCAST_KEYS. Their rows
+    are then dealt by id, so that no task gets all rows of one key; the other keys' rows meet their sizes by shuffle.
+    """
+    values = [c for c in sizes.columns if c not in keys]
+    total = sizes.agg(F.coalesce(F.sum(many), F.lit(0))).first()[0]
+    bar = max(HOT_ROWS, int(total) // BROADCAST_KEYS + 1)
+    hot = sizes.where(F.col(many) >= bar).select(*keys, F.struct(*values).alias("_hot"))
+    cold = sizes.where(F.col(many) < bar).select(*keys, F.struct(*values).alias("_cold"), F.lit(0).alias("_salt"))
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(1 << 20)).cast("int") + 1).otherwise(0)
+    met = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).join(cold, [*keys, "_salt"], "left")
+    return met.select(*rows.columns, *[F.coalesce(f"_hot.{v}", f"_cold.{v}").alias(v) for v in values])
+
+
 def _size_step(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(SIZE_STEP)))
 
@@ -428,22 +446,26 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, words: int) -> Data
 
     # Groups: parts of a cluster with sizes of one step.
     resembled = pairs.unionByName(pairs.select(F.col("star").alias("id"), "star")).groupBy("id").agg(F.min("star").alias("star"))
-    counts = first.groupBy(F.col("component").alias("comp")).agg(F.count(F.lit(1)).alias("csize"))
-    banded = written(
+    counts = written(first.groupBy(F.col("component").alias("comp")).agg(F.count(F.lit(1)).alias("csize")), "jaccard-counts")
+    apiece = (
         ours.select("id", "n").distinct().join(first.withColumnRenamed("node", "id"), "id", "left").join(resembled, "id", "left")
-        .withColumn("comp", F.coalesce("component", "id")).join(counts, "comp", "left").withColumn("csize", F.coalesce("csize", F.lit(1)))
+        .withColumn("comp", F.coalesce("component", "id"))
+    )
+    banded = written(
+        _with_sizes(apiece, counts, ["comp"], "csize").withColumn("csize", F.coalesce("csize", F.lit(1)))
         .withColumn("cluster", F.when(F.col("csize") > 1, F.col("comp")).otherwise(F.coalesce("star", "id"))).withColumn("step", _size_step(F.col("n")))
         .select("id", "n", "comp", "csize", "cluster", "step"),
         "jaccard-banded",
     )
-    discard(pairs, near, stars, first)
+    discard(pairs, near, stars, first, counts)
     held = banded.groupBy("cluster", "step").agg(F.count(F.lit(1)).alias("held"), F.sum(F.col("n").cast("long")).alias("tokens")).where("held > 1")
+    held = written(held, "jaccard-held")
     part = F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.greatest(F.col("held") / GROUP_SIZE, F.col("tokens") / GROUP_TOKENS)))
     placed = written(
-        banded.join(held, ["cluster", "step"], "left").withColumn("gid", F.xxhash64("cluster", "step", F.coalesce(part, F.lit(0)))).select("id", "n", "comp", "csize", "gid"),
+        _with_sizes(banded, held, ["cluster", "step"], "held").withColumn("gid", F.xxhash64("cluster", "step", F.coalesce(part, F.lit(0)))).select("id", "n", "comp", "csize", "gid"),
         "jaccard-placed",
     )
-    discard(banded)
+    discard(banded, held)
 
     # Postings of the first tokens in the global order, where another set has the token too.
     counted = written(sets.where("kind = 1").groupBy(F.col("id").alias("token")).agg(F.sum(F.col("n").cast("long")).alias("n")), "jaccard-often")

@@ -296,6 +296,20 @@ def test_jaccard_without_star_links_or_broadcast(spark, monkeypatch):
     assert got == plain_components(texts)
 
 
+def test_rows_of_hot_clusters_are_dealt(spark, monkeypatch):
+    """With and without hot keys each row meets its key's sizes once, and no task gets all rows of a hot key."""
+    monkeypatch.setattr(jaccard_join, "HOT_ROWS", 5)
+    rows = spark.range(1000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS comp", "id % 2 AS step")
+    sizes = rows.groupBy("comp", "step").agg(F.count("*").alias("held"), F.sum("id").alias("tokens")).where("held > 1")
+    met = jaccard_join._with_sizes(rows, sizes, ["comp", "step"], "held")
+    want = rows.join(sizes, ["comp", "step"], "left").select(met.columns)
+    assert met.count() == 1000 and met.exceptAll(want).isEmpty() and met.where("held > 1").count() == 335  # 7 itself joins the multiples of 3
+    assert jaccard_join._with_sizes(rows, sizes.where("false"), ["comp", "step"], "held").where("held IS NULL").count() == 1000
+    texts = near_texts()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(frame(spark, texts)).collect()}
+    assert got == plain_components(texts)
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(30)] + [(5, 5)]
