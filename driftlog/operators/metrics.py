@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import struct
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -159,18 +160,24 @@ def misra_gries(rows: DataFrame, key: str, k: int = Config.topk_k) -> DataFrame:
         held: Counter = Counter()
         for batch in batches:
             held = misra_gries_merge(held, Counter(batch["key"].value_counts().to_dict()), k)
-        yield pd.DataFrame({"key": list(held), "n": list(held.values())})
+        yield from _summary(held)
 
     def reduce_(batches):
         held: Counter = Counter()
         for batch in batches:
             held = _merge_rows(held, batch, k)
-        yield pd.DataFrame({"key": list(held), "n": list(held.values())})
+        yield from _summary(held)
 
     parts = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key")).mapInPandas(summarise, "key string, n long")
     return parts.repartition(1).mapInPandas(reduce_, "key string, n long").withColumnRenamed("key", key)
 
 
+def _summary(held: Counter) -> Iterator[pd.DataFrame]:
+    """The counters as a batch. A task without rows gives none: pandas knows no type for empty columns, and Spark fails on them."""
+    if held:
+        yield pd.DataFrame({"key": list(held), "n": list(held.values())})
+
+
 def _merge_rows(held: Counter, batch: pd.DataFrame, k: int) -> Counter:
     summed: Counter = Counter()
     for x, n in zip(batch["key"], batch["n"]):

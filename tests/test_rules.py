@@ -69,6 +69,29 @@ def test_misra_gries_bounds(spark):
     assert misra_gries_merge(Counter(a=3, b=1), Counter(c=2), 2) == Counter(a=2, c=1)
 
 
+def test_misra_gries_over_tasks_without_rows(spark):
+    rows = spark.createDataFrame([("a",), ("a",), (None,)], "key string")
+    few = metrics.misra_gries(rows.coalesce(1).unionByName(rows.where("false").coalesce(1)), "key", 5)
+    assert [tuple(r) for r in few.collect()] == [("a", 2)]
+    assert metrics.misra_gries(rows.where("key IS NULL"), "key", 5).collect() == []
+    assert metrics.misra_gries(spark.range(0).selectExpr("CAST(id AS STRING) AS key"), "key", 5).collect() == []
+
+
+def test_misra_gries_over_splits_of_one_row_group(spark, tmp_path):
+    """A large row group belongs to one of the splits that its file is read in; the other tasks have no rows."""
+    path = str(tmp_path / "keys")
+    spark.range(40_000).selectExpr("IF(id % 2 = 0, 'hot', sha2(CAST(id AS STRING), 256)) AS key").coalesce(1).write.option("compression", "uncompressed").parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        stored = spark.read.parquet(path)
+        assert stored.rdd.getNumPartitions() > 2
+        got = {r["key"]: r["n"] for r in metrics.misra_gries(stored, "key", 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) <= 5 and 20_000 - 40_000 / 6 <= got["hot"] <= 20_000
+
+
 def test_count_min_bounds(spark):
     rows = spark.createDataFrame([(k,) for k in range(10) for _ in range(100)], "k long")
     sketch = metrics.count_min(rows, "k", eps=0.002)
