@@ -126,6 +126,25 @@ def over_cap(chunks: DataFrame, already: DataFrame | None = None, config: Config
     return ranked.join(F.broadcast(total), how="cross").where(F.col("_r") <= F.col("_hot") - config.max_hot_chunks).drop("_r", "_hot")
 
 
+def under_cap(wanted: DataFrame, chunks: DataFrame, leaving: DataFrame, config: Config = Config()) -> DataFrame:
+    """Of the chunks that are to be promoted, those that the cap would let stay; a cap of 0 is none.
+
+    The hottest come first: as many as there is room for when the leaving chunks are gone, and beyond that each that is hotter than the
+    chunk that would go for it, the coldest first. Equal heat moves nothing.
+    """
+    if config.max_hot_chunks <= 0:
+        return wanted
+    hot = chunks.where(F.col("tier") == "hot").join(leaving.select("seq"), "seq", "left_anti")
+    room = hot.agg((F.lit(config.max_hot_chunks) - F.count(F.lit(1))).alias("_room"))
+    # Room and hot chunks together are no more than the cap, so no chunk after the first so many can have a place.
+    first = wanted.orderBy(F.desc("temp"), F.col("last_access").desc_nulls_last(), "seq").limit(config.max_hot_chunks)
+    ranked = first.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("temp"), F.col("last_access").desc_nulls_last(), "seq")))
+    coldest = Window.orderBy("temp", F.col("last_access").asc_nulls_first(), "seq")
+    going = hot.where(F.col("state") == "persisted").select(F.col("temp").alias("_temp"), F.row_number().over(coldest).alias("_place"))
+    met = ranked.crossJoin(F.broadcast(room)).join(F.broadcast(going), F.col("_place") == F.col("_r") - F.col("_room"), "left")
+    return met.where((F.col("_r") <= F.col("_room")) | (F.col("temp") > F.col("_temp"))).drop("_r", "_room", "_place", "_temp")
+
+
 def budget(actions: DataFrame, config: Config = Config()) -> DataFrame:
     """The actions of a tick: by priority, plan order and target; builds and restores within their own limit, which excess ones don't use up."""
     order = ["priority", "plan_seq", "target"]

@@ -55,10 +55,11 @@ def plan(snap: Snapshot, config: Config = Config()) -> DataFrame:
             build = build.join(snap.dropped.select("seq", "field"), ["seq", "field"], "left_anti")
             build = build.withColumn("index_id", F.concat_ws(":", F.col("seq").cast("string"), "kind", "field")).dropDuplicates(["index_id"])
             parts.append(rows(build, "build", "build", "index_id", field="field", op="op", kind="kind"))
-        if config.dynamic_tiering:
-            parts.append(rows(D.should_promote(snap.chunks, config), "promote", "promote", "seq"))
         soft = D.should_demote(snap.chunks, snap.now, config)
-        parts.append(rows(soft.select("seq").unionByName(D.over_cap(snap.chunks, soft, config).select("seq")), "demote", "demote", "seq"))
+        leaving = soft.select("seq").unionByName(D.over_cap(snap.chunks, soft, config).select("seq"))
+        if config.dynamic_tiering:
+            parts.append(rows(D.under_cap(D.should_promote(snap.chunks, config), snap.chunks, leaving, config), "promote", "promote", "seq"))
+        parts.append(rows(leaving, "demote", "demote", "seq"))
     if config.dynamic_indexing:
         parts.append(rows(D.should_drop(snap.indexes, snap.now, snap.pressure, config), "drop", "drop", "index_id"))
     # What several rules ask for is one action, by the rule that runs first.

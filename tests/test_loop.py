@@ -49,6 +49,19 @@ def test_queries_lead_to_indexes_drops_and_restores(spark, engine):
     assert {r["planned"] >= r["applied"] for r in spark.read.parquet(f"{engine.root}/tick_summaries").collect()} == {True}
 
 
+def test_more_chunks_than_the_cap_are_indexed_and_swapped(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "capped"), Config(max_hot_chunks=2, actions_per_tick_budget=3), clock=lambda: 100.0)
+    engine.load(rows(spark, 0, 30))
+    for _ in range(5):
+        engine.find('service = "auth"')
+    turn = lambda now: [(r["action"], r["target"]) for r in engine.tick(now).orderBy("action", "target").collect()]
+    assert engine.hot == {4, 5} and turn(110.0) == [("build_index", "4:hash:service"), ("build_index", "5:hash:service")]
+    for _ in range(5):
+        engine.find('service = "auth"', (0.0, 4.0))
+    assert turn(120.0) == [("promote", "0")]  # hotter than a hot one, which the cap puts out next
+    assert turn(130.0) == [("build_index", "0:hash:service"), ("demote", "4")] and engine.hot == {0, 5}
+
+
 def test_state_survives_a_restart(spark, engine):
     engine.build_index("hash", "user_id")
     engine.demote(0)

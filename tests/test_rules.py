@@ -182,6 +182,34 @@ def test_hot_cap(spark):
     assert seqs(decisions.over_cap(chunk, chunk.where("seq = 1"), Config(max_hot_chunks=2))) == [2, 3]
 
 
+@pytest.mark.parametrize(
+    "hot, cold, cap, promoted",
+    [
+        ((0.9, 0.9), (0.6, 0.8, 0.7), 4, [11, 12]),  # there is room for two: the hottest
+        ((0.9, 0.9), (0.9, 0.9, 0.9), 2, []),  # no room, and equal heat moves nothing
+        ((0.2, 0.6), (0.7, 0.9, 0.55), 2, [10, 11]),  # 0.9 goes in for 0.2 and 0.7 for 0.6
+        ((0.2, 0.7), (0.6, 0.65), 2, [11]),  # the second would have to be hotter than 0.7
+        ((0.2, 0.8), (0.6, 0.65, 0.9), 3, [11, 12]),  # one by room, one for 0.2
+        ((0.9, 0.05), (0.6, 0.7), 2, [11]),  # 0.05 leaves anyway
+        ((0.3, 0.4, 0.5), (0.6, 0.45), 2, [10]),  # 0.3 goes by the cap, 0.4 for 0.6
+        ((0.9, 0.9), (0.6, 0.7), 0, [10, 11]),  # a cap of 0 is none
+    ],
+)
+def test_promotions_stay_under_the_cap(spark, hot, cold, cap, promoted):
+    rows = [(i, 1, t, "hot", "persisted", None, 1.0) for i, t in enumerate(hot)] + [(10 + i, 1, t, "cold", "persisted", None, 1.0) for i, t in enumerate(cold)]
+    empty = lambda schema: spark.createDataFrame([], schema)
+    snap = tick.Snapshot(NOW, spark.createDataFrame(rows, CHUNK), empty(PRED), empty(INDEX), empty(DROPPED))
+    plan = tick.plan(snap, Config(max_hot_chunks=cap, promote_threshold=0.4)).where("action = 'promote'")
+    assert sorted(int(r["target"]) for r in plan.collect()) == promoted
+
+
+def test_chunks_that_cannot_go_give_no_place(spark):
+    rows = [(1, 1, 0.2, "hot", "sealed", None, None), (2, 1, 0.3, "hot", "open", None, None), (3, 1, 0.9, "cold", "persisted", None, None)]
+    chunk = spark.createDataFrame(rows, CHUNK)
+    left = lambda cap: seqs(decisions.under_cap(chunk.where("tier = 'cold'"), chunk, chunk.limit(0), Config(max_hot_chunks=cap)))
+    assert left(1) == left(2) == [] and left(3) == [3]
+
+
 def test_budget_skips_excess_builds_without_charging(spark):
     rows = [("build", str(i), 30, 2) for i in range(6)] + [("drop", str(i), 50, 5) for i in range(9)] + [("demote", "0", 10, 0)]
     got = [(r["action"], r["target"]) for r in decisions.budget(spark.createDataFrame(rows, "action string, target string, priority int, plan_seq int")).collect()]
