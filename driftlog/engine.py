@@ -13,6 +13,7 @@ import threading
 import time
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,8 @@ HEAT = "seq int, temp double, last_access double"
 PREDICATES = "field string, op string, value string, freq long, last_seen double"
 TIERS = "seq int, tier string"
 BURST = "stable int, inside boolean, fast double, slow double"
+SNAPSHOT = "seq int, n long, temp double, tier string, state string, persisted_at double, last_access double, size_bytes long"
+PLANNED = "action string, target string, field string, op string, kind string, priority int, plan_seq int"
 EVENTS = "query long, ts double, low double, high double, field string, op string, value string, index string"
 PUBLISHED = (
     "ts double, type string, action string, target string, field string, op string, kind string, tier_from string, tier_to string, reason string, state string, "
@@ -65,6 +68,7 @@ class Engine:
         table = lambda name, schema: Table(spark, self.root, name, schema)
         self.catalog, self.tombstones, self.heat = table("catalog", CATALOG), table("tombstones", TOMBSTONES), table("heat", HEAT)
         self.predicates, self.tiers, self.burst = table("predicates", PREDICATES), table("tiers", TIERS), table("burst", BURST)
+        self.moment, self.planned = table("snapshot", SNAPSHOT), table("planned", PLANNED)
         self.hot: set[int] = {r["seq"] for r in self.tiers.read().where("tier = 'hot'").collect()}  # no more than the cap and a tick's promotions
         self._frame: DataFrame | None = None
         self.query_events: list[dict] = []
@@ -328,15 +332,21 @@ class Engine:
         ratio = rate = 0.0
         if not given:
             self.ticks += 1
-            for table in (self.catalog, self.tombstones, self.heat, self.predicates, self.tiers, self.burst):
+            for table in (self.catalog, self.tombstones, self.heat, self.predicates, self.tiers, self.burst, self.moment, self.planned):
                 table.prune()
             self.absorb(now)
             is_burst, ratio, rate = self.step_burst(now)
             snapshot = self.snapshot(now, is_burst)
+            self.moment.write(snapshot.chunks)  # each rule reads the chunks, so they are put together once
+            snapshot = replace(snapshot, chunks=self.moment.read())
         if self.config.static_indexes:
             self._build_static(snapshot)
         planned = tick.plan(snapshot, self.config)
-        n_planned = planned.count() if not given else 0
+        n_planned = 0
+        if not given:
+            self.planned.write(planned)
+            planned = self.planned.read()
+            n_planned = planned.count()
         todo = decisions.budget(planned, self.config).collect()
         reasons = {r["index_id"]: r["reason"] for r in tick.drop_reasons(snapshot.indexes.where(F.col("index_id").isin([a["target"] for a in todo])), now, self.config).collect()}
         done = []
